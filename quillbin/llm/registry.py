@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "simhash", "pfor", "crf", "mixing", "langid")
+MODULES = ("decontaminate", "simhash", "pfor", "crf", "mixing", "langid", "lm")
 
 
 def _gather(what: str) -> dict:
