@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "simhash", "pfor", "crf", "mixing", "langid", "lm")
+MODULES = ("decontaminate", "simhash", "pfor", "crf", "mixing", "langid", "lm", "ann", "licences", "passages")
 
 
 def _gather(what: str) -> dict:
