@@ -119,8 +119,10 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
     return values[node], values[lab[node]]
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column fp) that connect exactly those that links connect."""
+def _dealt(fps: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(fps with their tile (p, i), plan (pair, p, i, side)): the tiles of each population count, and the pairs of tiles to compare.
+
+    A tile is compared with itself in a pair that has it on side 0 alone."""
     spark = fps.sparkSession
     counts = {r.p: r.n for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     blocks = {p: -(-n // tile) for p, n in counts.items()}
@@ -128,8 +130,14 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     pairs = [(x, y) for k, x in enumerate(tiles) for y in tiles[k:] if y[0] - x[0] <= radius]
     sides = [(n, p, i, s) for n, pair in enumerate(pairs) for s, (p, i) in enumerate(pair) if s == 0 or pair[0] != pair[1]]
     plan = spark.createDataFrame(sides, "pair long, p int, i int, side int")
-    count_of = spark.createDataFrame(sorted(blocks.items()), "p int, n int")
-    own = fps.select("fp", F.bit_count("fp").alias("p")).join(F.broadcast(count_of), "p").select("fp", "p", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("i"))
+    count_of = spark.createDataFrame(sorted(blocks.items()), "p int, n int")  # 65 rows at most
+    own = fps.withColumn("p", F.bit_count("fp")).join(F.broadcast(count_of), "p").withColumn("i", F.pmod(F.xxhash64(*fps.columns), F.col("n")).cast("int"))
+    return own.select(*fps.columns, "p", "i"), plan
+
+
+def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (column fp) that connect exactly those that links connect."""
+    own, plan = _dealt(fps, radius, tile)
 
     def compare(t: pa.Table) -> pa.Table:
         fp, side = t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy()
@@ -165,10 +173,92 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int
     return rows.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """docs with one row left of each component: that of its smallest doc_id (of repeated rows, one)."""
-    _, classes = clusters(docs, width, radius, tile)
-    kept = classes.groupBy("root_fp").agg(F.first("component_id").alias("__keep_id"), F.first("keep_hash").alias("__keep_hash")).drop("root_fp").distinct()
+# ---------------------------------------------------------------- verified near copies
+
+
+def tile_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones."""
+    other = left if right is None else right
+    l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
+    found: list[np.ndarray] = []
+    step = max(1, CELLS // max(1, len(other)))
+    for at in range(0, len(left), step):
+        rows = l_order[at : at + step]
+        for c in range(0, len(other), CELLS):
+            cols = r_order[c : c + CELLS]
+            dist = np.bitwise_count(left[rows][:, None] ^ other[cols][None, :])
+            close = dist <= radius
+            if right is None:
+                close &= rows[:, None] != cols[None, :]
+            i, j = np.nonzero(close)
+            if not len(i):
+                continue
+            d = dist[i, j]
+            for side in (i, j):
+                order = np.lexsort((i + j, d, side))
+                key = side[order]
+                begin = np.concatenate([[True], key[1:] != key[:-1]])
+                rank = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
+                use = order[rank < most]
+                found.append(np.stack([rows[i[use]], cols[j[use]]], 1))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(rows (doc_id, text_hash, fp), classes (text_hash, root)): texts joined by chains of pairs whose `width`-word shingle sets have a Jaccard
+    similarity of `similarity` or more. The tiled comparison proposes each text's nearest fingerprints within `radius`; the sets decide."""
+    spark, path = docs.sparkSession, scratch(docs.sparkSession)
+    rows = stored(with_fingerprint(docs, width), f"{path}/rows")
+    texts = stored(rows.groupBy("text_hash").agg(F.min("fp").alias("fp")), f"{path}/texts")
+    own, plan = _dealt(texts, radius, tile)
+
+    def propose(t: pa.Table) -> pa.Table:
+        fp, th, side = t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("side").to_numpy()
+        left, right = fp[side == 0], fp[side == 1]
+        i, j = tile_pairs(left, right if len(right) else None, radius)
+        a, b = th[side == 0][i], (th[side == 1] if len(right) else th[side == 0])[j]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    proposed = own.join(plan, ["p", "i"]).groupBy("pair").applyInArrow(propose, "a long, b long")
+    pairs = stored(proposed.filter("a <> b").distinct(), f"{path}/pairs")
+    wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in binary_list(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.array(sets, pa.binary())], ["text_hash", "shingles"])
+
+    slim = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    sets = slim.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).mapInArrow(shingle_sets, "text_hash long, shingles binary")
+    sets = stored(sets, f"{path}/sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
+    roots = components(two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), path)
+    named = texts.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    return rows, named.select("text_hash", F.coalesce("root", "text_hash").alias("root"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """docs, all columns, with one row left of each group of near copies: that of the smallest doc_id (of repeated rows, one; a group without ids keeps
+    a row of one of its texts). Null texts are one text of their own; texts without words are alike."""
+    rows, classes = near_copies(docs, width, radius, similarity, tile)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    kept = rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).join(classes, "text_hash").groupBy("root").agg(best)
+    kept = kept.select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_hash").alias("__keep_hash"))
     marked = docs.withColumns({"__hash": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
     found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
     return found.dropDuplicates(["__id", "__hash"]).drop("__hash", "__id")
