@@ -1,11 +1,473 @@
-"""The registered queries."""
+"""The registered queries over the driver's tables, and their DuckDB twins."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillbin.functions import tags as T
+from quillbin.functions.buckets import low_of, mid_of
+from quillbin.operators import histogram as H
+from quillbin.operators import index as I
+from quillbin.plans.selector import parse
+from quillbin.sources.store import Store, merged_scan
+from quillbin.streaming import ingest
+
+# ---------------------------------------------------------------- inputs
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric, value, day, ts of each event; the metric has the tags event_type and user (the last digit of the user's id)."""
+    metric = F.concat(F.lit("event_type="), F.col("event_type"), F.lit(",user="), (F.col("user_id") % 10).cast("string"))
+    return _table(spark, sf_dir, "events").select(metric.alias("metric"), F.col("value").cast("float").alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts")
+
+
+def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as metrics: values with spaces and dashes."""
+    o = _table(spark, sf_dir, "orders")
+    metric = F.concat(F.lit("priority="), F.col("o_orderpriority"), F.lit(",status="), F.col("o_orderstatus"))
+    return o.select(metric.alias("metric"), F.col("o_totalprice").cast("float").alias("value"))
+
+
+def part_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("brand="), F.col("p_brand"), F.lit(",size="), F.col("p_size").cast("string")).alias("metric"), F.col("p_retailprice").cast("float").alias("value"))
+
+
+MULTI = ("foo=bar,foo=baz", "foo=bar", "foo=baz", "foo", "bif=1", "=x", "foo=", r"foo=bar\,baz,bif=2", "a=1,,b=2,", "foo=bar,foo=bar", "b=2,a=1")
+
+
+def _multi(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in MULTI], "metric string")
+
+
+def _event_hist(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col(key).alias("name"), F.col("value").cast("float").alias("value"))
+    return H.observe(e, ["name"])
+
+
+def _account_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_acctbal").cast("float").alias("value"))
+    return H.observe(c, ["name"])
+
+
+def _store(spark: SparkSession, rules: tuple = ()) -> Store:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillbin-store-")
+    root = f"{base}/store-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return Store(spark, root, rules)
+
+
+#: The days that are flushed as segments of their own, oldest first, with ts = day of the month and dur = 1.
+DAYS = 5
+
+
+def _filled(spark: SparkSession, sf_dir: str, compact: bool = False) -> Store:
+    store, events = _store(spark), event_metrics(spark, sf_dir)
+    for day in range(1, DAYS + 1):
+        store.flush(events.filter(F.col("day") == f"2024-01-{day:02d}"), day, 1)
+        if compact:
+            store.compact()
+    return store
+
+
+# ---------------------------------------------------------------- SQL
+
+_EVENTS = "ev AS (SELECT 'event_type=' || event_type || ',user=' || CAST(user_id % 10 AS VARCHAR) AS name, event_type, CAST(user_id % 10 AS VARCHAR) AS u, CAST(value AS FLOAT) AS value, strftime(ts, '%Y-%m-%d') AS day, day(ts) AS dom FROM events)"
+
+
+def _sql_bucket(v: str) -> str:
+    a = f"abs(CAST({v} AS DOUBLE))"
+    e = f"(floor(log2({a})) - CASE WHEN pow(2.0, floor(log2({a}))) > {a} THEN 1 ELSE 0 END + CASE WHEN pow(2.0, floor(log2({a})) + 1) <= {a} THEN 1 ELSE 0 END)"
+    mag = f"(CASE WHEN {a} < pow(2.0, -126) THEN floor({a} * pow(2.0, 126) * 128) ELSE ({e} + 127) * 128 + floor(({a} / pow(2.0, {e}) - 1) * 128) END)"
+    return f"CAST(CASE WHEN {v} < 0 THEN 32767 - {mag} ELSE 32768 + {mag} END AS INTEGER)"
+
+
+def _sql_value(b: str, up: str, down: str) -> str:
+    mag = f"(CASE WHEN {b} >= 32768 THEN {b} - 32768 ELSE 32767 - {b} END)"
+    part = f"((({mag} % 128) + CASE WHEN {b} >= 32768 THEN {up} ELSE {down} END) / 128.0)"
+    size = f"(CASE WHEN {mag} // 128 = 0 THEN {part} * pow(2.0, -126) ELSE (1 + {part}) * pow(2.0, ({mag} // 128) - 127) END)"
+    return f"(CASE WHEN {b} >= 32768 THEN {size} ELSE -{size} END)"
+
+
+def _sql_low(b: str) -> str:
+    return _sql_value(b, "0.0", "(65535.0 / 65536)")
+
+
+def _sql_mid(b: str) -> str:
+    return _sql_value(b, "0.5", "(32767.0 / 65536)")
+
+
+def _sql_hist(source: str = "events", name: str = "event_type", value: str = "value") -> str:
+    return f"v AS (SELECT {name} AS name, CAST({value} AS FLOAT) AS v FROM {source}), h AS (SELECT name, {_sql_bucket('v')} AS bucket, count(*) AS cnt FROM v WHERE isfinite(v) GROUP BY ALL)"
+
+
+_CUM = "c AS (SELECT name, bucket, cnt, sum(cnt) OVER (PARTITION BY name ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum, sum(cnt) OVER (PARTITION BY name) AS total FROM h)"
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, oracle: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+# ---------------------------------------------------------------- selectors
+
+
+def _selector(name: str, text: str, condition: str, source: str = "ev", compat: bool = False) -> None:
+    """Names of the events' metrics that a selector finds."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return I.select(I.dimension(event_metrics(spark, sf_dir)), text).select("name")
+
+    _register(name, f"WITH {_EVENTS} SELECT DISTINCT name FROM {source} WHERE {condition}")(run)
+
+
+_selector("sel_eq", "event_type = purchase", "event_type = 'purchase'")
+_selector("sel_eq_double", "event_type == purchase, user == 3", "event_type = 'purchase' AND u = '3'")
+_selector("sel_neq", "event_type != purchase", "event_type <> 'purchase'")
+_selector("sel_regex", "event_type =~ '^(view|click)'", "regexp_matches(event_type, '^(view|click)')")
+_selector("sel_regex_end", "event_type =~ 'e$' & user =~ '[0-4]'", "regexp_matches(event_type, 'e$') AND regexp_matches(u, '[0-4]')")
+_selector("sel_nregex", "event_type !~ '^p'", "NOT regexp_matches(event_type, '^p')")
+_selector("sel_glob", "event_type =* pur", "contains(event_type, 'pur')")
+_selector("sel_glob_anchored", "event_type =* '^p*e$'", "event_type LIKE 'p%e'")
+_selector("sel_glob_any_byte", "user =* '^?$' & event_type =* 'c?i'", "length(u) = 1 AND event_type LIKE '%c_i%'")
+_selector("sel_nglob", "event_type !* 'pur'", "NOT contains(event_type, 'pur')")
+_selector("sel_and", "event_type = purchase & user = 3", "event_type = 'purchase' AND u = '3'")
+_selector("sel_or_requires_keys", "event_type = purchase | user = 3", "event_type = 'purchase' OR u = '3'")
+_selector("sel_or_missing_key", "event_type = purchase | nowhere = 3", "FALSE")
+_selector("sel_left_to_right", "event_type = purchase | user = 3 & user != 4", "(event_type = 'purchase' OR u = '3') AND u <> '4'")
+_selector("sel_grouping", "event_type = purchase | (user = 3 & event_type != click)", "event_type = 'purchase' OR (u = '3' AND event_type <> 'click')")
+_selector("sel_presence", "{event_type, user |}", "TRUE")
+_selector("sel_key_list", "{event_type, user | user = 7}", "u = '7'")
+_selector("sel_union", "{event_type = purchase} | {user = 1}", "event_type = 'purchase' OR u = '1'")
+_selector("sel_inter", "{event_type = purchase} & {user = 1}", "event_type = 'purchase' AND u = '1'")
+_selector("sel_symdiff", "{event_type = purchase} ^ {user = 1}", "(event_type = 'purchase') <> (u = '1')")
+_selector("sel_diff", "{event_type = purchase} % {user = 1}", "event_type = 'purchase' AND u <> '1'")
+_selector("sel_algebra", "({event_type = purchase} | {event_type = click}) % {user =~ '[5-9]'}", "event_type IN ('purchase', 'click') AND NOT regexp_matches(u, '[5-9]')")
+_selector("sel_empty", "{}", "FALSE")
+
+
+@_register("sel_quoted", "WITH m AS (SELECT DISTINCT 'priority=' || o_orderpriority || ',status=' || o_orderstatus AS name, o_orderpriority AS p, o_orderstatus AS s FROM orders) SELECT name FROM m WHERE p = '4-NOT SPECIFIED' AND s <> 'F'")
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.select(I.dimension(order_metrics(spark, sf_dir)), "priority = '4-NOT SPECIFIED' & status != F").select("name")
+
+
+@_register("sel_parts", "WITH m AS (SELECT DISTINCT 'brand=' || p_brand || ',size=' || CAST(p_size AS VARCHAR) AS name, p_brand AS b, CAST(p_size AS VARCHAR) AS s FROM part) SELECT name FROM m WHERE regexp_matches(b, '#1[0-5]') AND s NOT LIKE '%1%'")
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.select(I.dimension(part_metrics(spark, sf_dir)), "brand =~ '#1[0-5]' & size !* 1").select("name")
+
+
+_MULTI_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{n}')" for q, n in (
+    ("!=", "foo"), ("!=", "foo=baz"), ("!~", "foo"), ("!~", "foo=baz"), ("!~", "foo=bar,foo=baz"), ("!~", r"bif=2,foo=bar\,baz"), ("!=", r"bif=2,foo=bar\,baz"), ("{}", "=x"),
+)) + ") AS t(query, name)"
+
+
+@_register("sel_multivalue", _MULTI_SQL)
+def _multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`!=` wants no such value, `!~` some other one: they part on metrics with two values of a key."""
+    m = I.dimension(_multi(spark))
+    one = lambda label, text: I.select(m, text).select(F.lit(label).alias("query"), "name")
+    return one("!=", "foo != bar").unionByName(one("!~", "foo !~ '^bar$'")).unionByName(one("{}", "{}"))
+
+
+# ---------------------------------------------------------------- histograms
+
+
+@_register("hist_observe", f"WITH {_sql_hist()} SELECT name, bucket, cnt FROM h")
+def _observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_hist(spark, sf_dir)
+
+
+@_register("hist_bucket_edges", f"WITH {_sql_hist()} SELECT DISTINCT bucket, {_sql_low('bucket')} AS low, {_sql_mid('bucket')} AS mid FROM h")
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_hist(spark, sf_dir).select("bucket").distinct().select("bucket", low_of("bucket").alias("low"), mid_of("bucket").alias("mid"))
+
+
+@_register("hist_total", f"WITH {_sql_hist()} SELECT name, CAST(sum(cnt) AS BIGINT) AS total FROM h GROUP BY name")
+def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.total(_event_hist(spark, sf_dir), ["name"])
+
+
+@_register("hist_minmax", f"WITH {_sql_hist()}, g AS (SELECT name, min(bucket) AS lo, max(bucket) AS hi FROM h GROUP BY name) SELECT name, {_sql_low('lo')} AS min, {_sql_mid('hi')} AS max FROM g")
+def _minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.min_max(_event_hist(spark, sf_dir), ["name"])
+
+
+_QS = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0, 2.0)
+
+
+def _quantile_sql(hist: str) -> str:
+    values = ", ".join(f"(CAST({q} AS DOUBLE))" for q in _QS)
+    return f"WITH {hist}, {_CUM}, qs AS (SELECT * FROM (VALUES {values}) AS t(q)), g AS (SELECT name, q, min(CASE WHEN cum > floor(q * total + 0.5) THEN bucket END) AS b, max(bucket) AS hi FROM c, qs GROUP BY name, q) SELECT name, q, CASE WHEN b IS NULL THEN {_sql_mid('hi')} ELSE {_sql_low('b')} END AS value FROM g"
+
+
+@_register("hist_quantile", _quantile_sql(_sql_hist()))
+def _quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.quantile(_event_hist(spark, sf_dir), ["name"], _QS)
+
+
+_AT = (0.5, 10.0, 100.0, 250.25, 1000.0)
+
+
+@_register("hist_cdf", f"WITH {_sql_hist()}, a AS (SELECT x, {_sql_bucket('CAST(x AS FLOAT)')} AS b FROM (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in _AT)}) AS t(x)) SELECT name, x AS \"at\", (sum(CASE WHEN bucket < b THEN cnt ELSE 0 END) + sum(CASE WHEN bucket = b THEN cnt ELSE 0 END) // 2) / CAST(sum(cnt) AS DOUBLE) AS cdf FROM h, a GROUP BY name, x")
+def _cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.cdf(_event_hist(spark, sf_dir), ["name"], _AT)
+
+
+def _summary_sql(hist: str) -> str:
+    return f"WITH {hist}, m AS (SELECT name, cnt, {_sql_mid('bucket')} AS mid FROM h), s AS (SELECT name, sum(cnt) AS n, sum(cnt * mid) AS s FROM m GROUP BY name), q AS (SELECT m.name, sum(cnt * (mid - s / n) * (mid - s / n)) AS sq FROM m JOIN s ON m.name = s.name GROUP BY m.name) SELECT s.name, CAST(n AS BIGINT) AS count, round(s, 4) AS sum, round(s / n, 6) AS avg, round(CASE WHEN n > 1 THEN sq / (n - 1) ELSE 0 END, 4) AS variance FROM s JOIN q ON s.name = q.name"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"sum": F.round("sum", 4), "avg": F.round("avg", 6), "variance": F.round("variance", 4)})
+
+
+@_register("hist_summary", _summary_sql(_sql_hist()))
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(H.summary(_event_hist(spark, sf_dir), ["name"]))
+
+
+@_register("hist_distribution", f"WITH {_sql_hist()}, {_CUM} SELECT name, {_sql_mid('bucket')} AS value, CAST(cum AS BIGINT) AS cumulative, CAST(total AS BIGINT) AS total FROM c")
+def _distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.distribution(_event_hist(spark, sf_dir), ["name"])
+
+
+@_register("hist_merge_day", f"WITH {_EVENTS}, h AS (SELECT day, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev GROUP BY ALL) SELECT day, bucket, cnt FROM h")
+def _merge_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = H.observe(event_metrics(spark, sf_dir), ["metric", "day"])
+    return H.merge(each, keys=["day"])
+
+
+@_register("hist_merge_tables", f"WITH a AS (SELECT CAST(c_acctbal AS FLOAT) AS v FROM customer UNION ALL SELECT CAST(s_acctbal AS FLOAT) FROM supplier) SELECT 'balance' AS name, {_sql_bucket('v')} AS bucket, count(*) AS cnt FROM a GROUP BY ALL")
+def _merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda t, c: H.observe(_table(spark, sf_dir, t).select(F.lit("balance").alias("name"), F.col(c).cast("float").alias("value")), ["name"])
+    return H.merge(part("customer", "c_acctbal"), part("supplier", "s_acctbal"), keys=["name"])
+
+
+@_register("hist_equal", "SELECT event_type AS name, count(*) FILTER (user_id % 10 = 0) = 0 AS equal FROM events GROUP BY 1")
+def _equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events against those without the users that end in 0."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").cast("float").alias("value"), "user_id")
+    return H.equal(H.observe(e, ["name"]), H.observe(e.filter("user_id % 10 <> 0"), ["name"]), ["name"])
+
+
+@_register("hist_negative_values", f"WITH {_sql_hist('customer', 'c_mktsegment', 'c_acctbal')} SELECT name, bucket, cnt FROM h")
+def _negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _account_hist(spark, sf_dir)
+
+
+@_register("hist_negative_quantile", _quantile_sql(_sql_hist("customer", "c_mktsegment", "c_acctbal")))
+def _negative_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.quantile(_account_hist(spark, sf_dir), ["name"], _QS)
+
+
+@_register("hist_negative_summary", _summary_sql(_sql_hist("customer", "c_mktsegment", "c_acctbal")))
+def _negative_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(H.summary(_account_hist(spark, sf_dir), ["name"]))
+
+
+@_register("hist_lineitem_p95", f"WITH v AS (SELECT 'linestatus=' || l_linestatus || ',returnflag=' || l_returnflag || ',shipyear=' || CAST(year(l_shipdate) AS VARCHAR) AS name, CAST(l_extendedprice AS FLOAT) AS v FROM lineitem), h AS (SELECT name, {_sql_bucket('v')} AS bucket, count(*) AS cnt FROM v GROUP BY ALL), {_CUM} SELECT name, CAST(0.95 AS DOUBLE) AS q, {_sql_low('b')} AS value FROM (SELECT name, min(CASE WHEN cum > floor(0.95 * total + 0.5) THEN bucket END) AS b FROM c GROUP BY name)")
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("linestatus="), "l_linestatus", F.lit(",returnflag="), "l_returnflag", F.lit(",shipyear="), F.year("l_shipdate").cast("string"))
+    return H.quantile(H.observe(li.select(name.alias("name"), F.col("l_extendedprice").cast("float").alias("value")), ["name"]), ["name"], 0.95)
+
+
+@_register("hist_pack_unpack", f"WITH {_sql_hist()} SELECT name, bucket, cnt FROM h")
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.unpack(H.pack(_event_hist(spark, sf_dir), ["name"]), ["name"])
+
+
+@_register("hist_count", "SELECT count(DISTINCT event_type) AS histograms FROM events")
+def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.count_histograms(_event_hist(spark, sf_dir), ["name"])
+
+
+@_register("hist_embeddings", f"WITH v AS (SELECT label, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings) SELECT label, {_sql_bucket('v')} AS bucket, count(*) AS cnt FROM v WHERE v <> 0 GROUP BY ALL")
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<float>")).alias("value"))
+    return H.observe(e.filter("value <> 0"), ["label"])
+
+
+# ---------------------------------------------------------------- index
+
+
+@_register("idx_tag_keys", "SELECT * FROM (VALUES ('event_type'), ('user')) AS t(key)")
+def _tag_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.tag_keys(I.dimension(event_metrics(spark, sf_dir)))
+
+
+@_register("idx_tag_values", "SELECT DISTINCT event_type AS value FROM events")
+def _tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.tag_values(I.dimension(event_metrics(spark, sf_dir)), "event_type")
+
+
+@_register("idx_tags", "SELECT DISTINCT 'event_type=' || event_type AS tag FROM events UNION SELECT DISTINCT 'user=' || CAST(user_id % 10 AS VARCHAR) FROM events")
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.tags(I.dimension(event_metrics(spark, sf_dir)))
+
+
+@_register("idx_cardinality", f"WITH {_EVENTS} SELECT count(DISTINCT name) AS metrics FROM ev")
+def _cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.cardinality(I.dimension(event_metrics(spark, sf_dir)))
+
+
+_PART_SQL = "p AS (SELECT DISTINCT p_brand, p_size FROM part), each AS (SELECT 'brand=' || p_brand AS tag, 'brand' AS key FROM p UNION ALL SELECT 'size=' || CAST(p_size AS VARCHAR), 'size' FROM p)"
+
+
+@_register("idx_low_card", f"WITH {_PART_SQL} SELECT tag, count(*) AS metrics FROM each GROUP BY tag HAVING count(*) <= 24")
+def _low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.low_cardinality_tags(I.dimension(part_metrics(spark, sf_dir)), 24)
+
+
+@_register("idx_high_card", f"WITH {_PART_SQL} SELECT key, count(DISTINCT tag) AS tags FROM each GROUP BY key HAVING count(DISTINCT tag) >= 26")
+def _high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.high_cardinality_tag_keys(I.dimension(part_metrics(spark, sf_dir)), 26)
+
+
+@_register("idx_add", f"WITH {_EVENTS} SELECT DISTINCT name, event_type <> 'purchase' AS is_new FROM ev")
+def _add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_metrics(spark, sf_dir)
+    return I.add(I.select(I.dimension(e), "event_type = purchase"), e).select("name", "is_new")
+
+
+@_register("idx_lookup", f"WITH {_EVENTS} SELECT DISTINCT name FROM ev WHERE event_type = 'purchase' AND u = '3'")
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lookup(I.dimension(event_metrics(spark, sf_dir)), "event_type=purchase,user=3").select("name")
+
+
+@_register("idx_filter_fn", f"WITH {_EVENTS} SELECT DISTINCT name FROM ev WHERE length(event_type) > 5 AND CAST(u AS INTEGER) < 5")
+def _filter_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    longer: Column = lambda v: F.length(v) > 5
+    return I.where_not_value(I.where_value(I.dimension(event_metrics(spark, sf_dir)), "event_type", longer), "user", lambda v: v.cast("int") >= 5).select("name")
+
+
+_NORMAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{T.name_of(m)}', {len(T.tag_set(m))})" for m in MULTI) + ") AS t(metric, name, tags)"
+
+
+@_register("tag_normalise", _NORMAL_SQL)
+def _normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.normalise(_multi(spark)).select("metric", "name", F.size("tags").alias("tags"))
+
+
+@_register("card_drop", "SELECT DISTINCT 'event_type=' || event_type AS name FROM events")
+def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.dimension(event_metrics(spark, sf_dir), rules=[T.drop_tag_key("user")]).select("name")
+
+
+@_register("card_rewrite", "SELECT CASE WHEN event_type LIKE 'pur%' THEN 'event_type=fixed' WHEN event_type LIKE 'cl%' THEN 'kind=click' ELSE 'event_type=' || event_type END AS name, count(*) AS n FROM events GROUP BY 1")
+def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule of a key that fits decides, and may change the key."""
+    rules = [T.rewrite_tag("event_type", "=pur", "event_type=fixed"), T.rewrite_tag("event_type", "=cl", "kind=click"), T.rewrite_tag("event_type", "=pur", None), T.drop_tag_key("user")]
+    counted = event_metrics(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("n"))
+    return I.normalise(counted, rules=rules).groupBy("name").agg(F.sum("n").alias("n"))
+
+
+# ---------------------------------------------------------------- store
+
+_DAYS_SQL = f"{_EVENTS}, f AS (SELECT name, event_type, u, dom AS ts, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev WHERE day BETWEEN '2024-01-01' AND '2024-01-{DAYS:02d}' GROUP BY ALL)"
+
+
+@_register("flush_levels", f"WITH {_DAYS_SQL} SELECT CAST(ts - 1 AS INTEGER) AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f")
+def _flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.unpack(_filled(spark, sf_dir).rows(), ["low", "name", "ts", "dur"])
+
+
+@_register("scan_after", f"WITH {_DAYS_SQL} SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f WHERE event_type = 'purchase' AND ts >= 3 GROUP BY name, ts")
+def _scan_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _filled(spark, sf_dir).query_histograms("event_type = purchase", after=3)
+    return H.total(rows, ["name", "ts"])
+
+
+@_register("scan_metrics", f"WITH {_DAYS_SQL} SELECT DISTINCT name FROM f WHERE u IN ('1', '2')")
+def _scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).query_metrics("user =~ '^[12]$'")
+
+
+@_register("scan_neq_compat", f"WITH {_DAYS_SQL}, k AS (SELECT DISTINCT ts FROM f WHERE u = '3' AND event_type = 'purchase') SELECT DISTINCT name FROM f WHERE u <> '3' AND ts IN (SELECT DISTINCT ts FROM f WHERE u = '3')")
+def _neq_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).query_metrics("user != 3", reference_compat=True)
+
+
+@_register("compact_rows", f"WITH {_DAYS_SQL} SELECT CASE WHEN ts <= 4 THEN 0 ELSE 4 END AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f")
+def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flush and a compaction for each day: the segments are those of a binary counter, the rows those of the flushes."""
+    return H.unpack(_filled(spark, sf_dir, compact=True).rows(), ["low", "name", "ts", "dur"])
+
+
+@_register("merge_scan_dups", f"WITH {_DAYS_SQL}, t AS (SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f WHERE ts <= 2 GROUP BY name, ts) SELECT name, ts, scan, total FROM t, (VALUES (0), (1)) AS s(scan)")
+def _merge_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of the same rows, merged: equal rows stay."""
+    rows = H.total(_filled(spark, sf_dir).query_histograms("{event_type|}").filter("ts <= 2"), ["name", "ts"]).withColumn("dur", F.lit(1))
+    return merged_scan(rows, rows).select("name", "ts", "scan", "total")
+
+
+@_register("reopen_store", f"WITH {_DAYS_SQL} SELECT ts, CAST(sum(cnt) AS BIGINT) AS total FROM f GROUP BY ts")
+def _reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _filled(spark, sf_dir, compact=True)
+    again = Store(spark, first.root)
+    return H.total(again.query_histograms("{user|}"), ["ts"])
+
+
+@_register("stream_flush", f"WITH {_EVENTS} SELECT name, count(*) AS total FROM ev GROUP BY name")
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, flushed by micro-batches into a store."""
+    store = _store(spark)
+    raw = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    metric = F.concat(F.lit("event_type="), "event_type", F.lit(",user="), (F.col("user_id") % 10).cast("string"))
+    stream = raw.select(metric.alias("metric"), F.col("value").cast("float").alias("value"))
+    ingest.flush_stream(stream, store, f"{store.root}/checkpoint", lambda b: (b, 1), name=f"q{uuid.uuid4().hex[:8]}").awaitTermination()
+    return H.total(store.query_histograms("{event_type|}"), ["name"])
+
+
+@_register("event_time_windows", f"WITH {_EVENTS} SELECT event_type, day, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev GROUP BY ALL")
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    out = ingest.windowed(e, "at", "1 day", "1 hour", ["event_type"])
+    return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "bucket", "cnt")
+
+
+# ---------------------------------------------------------------- flagship
+
+_FLAGSHIP = "event_type =* pur & user != 3"
+
+
+@_register("flagship", f"WITH {_EVENTS}, h AS (SELECT day AS name, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev WHERE contains(event_type, 'pur') AND u <> '3' GROUP BY ALL), {_CUM}, m AS (SELECT name, sum(cnt) AS total, sum(cnt * {_sql_mid('bucket')}) / sum(cnt) AS avg FROM h GROUP BY name), q AS (SELECT name, min(CASE WHEN cum > floor(0.95 * total + 0.5) THEN bucket END) AS b, max(bucket) AS hi FROM c GROUP BY name) SELECT m.name AS day, CAST(total AS BIGINT) AS total, round(avg, 6) AS avg, CASE WHEN b IS NULL THEN {_sql_mid('hi')} ELSE {_sql_low('b')} END AS p95 FROM m JOIN q ON m.name = q.name")
+def flagship_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day: total, average and 95th percentile of a selection of metrics, merged. The metrics are parsed and selected once each."""
+    counts = H.observe(event_metrics(spark, sf_dir), ["metric", "day"])
+    chosen = counts.select("metric").distinct().filter(parse(_FLAGSHIP).column(T.parse_tags("metric")))
+    by_day = H.merge(counts.join(chosen, "metric", "left_semi"), keys=["day"])
+    stats = H.summary(by_day, ["day"]).select("day", F.col("count").alias("total"), F.round("avg", 6).alias("avg"))
+    p95 = H.quantile(by_day, ["day"], 0.95).select("day", F.col("value").alias("p95"))
+    return stats.join(p95, "day")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
