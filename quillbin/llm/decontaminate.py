@@ -31,12 +31,14 @@ def words_of(text: bytes) -> list[bytes]:
 class Block:
     """Part of the benchmark: its word ids, and its distinct windows with the items that have them."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int, int, list[bytes]]], window: int):
+        """items: (item_id, the piece's first word in the item, the piece's words)."""
         self.window = window
         self.ids: dict[bytes, int] = {}
         seen: dict[tuple[int, bytes], set[int]] = {}
-        self.items = [i for i, _ in items]
-        for at, (_, words) in enumerate(items):
+        self.items = [i for i, _, _ in items]
+        self.pieces = [(first, words) for _, first, words in items]
+        for at, (_, _, words) in enumerate(items):
             ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.uint16)
             n = min(window, len(ids))
             for k in range(len(ids) - n + 1):
@@ -138,7 +140,7 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLO
                 continue
             if words + len(piece) > block_words or len(vocabulary | set(piece)) >= BLOCK_VOCABULARY:
                 close()
-            items.append((item_id, piece))
+            items.append((item_id, k, piece))
             words += len(piece)
             vocabulary.update(piece)
     close()
@@ -173,36 +175,29 @@ def scan(texts: list[bytes], blocks: list[Broadcast]) -> tuple[np.ndarray, np.nd
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The longest verbatim matches: doc_id, item_id, doc_start, item_start, n_words (all in words), one row for each maximal run of at least
     `window` words (or a whole shorter item) and each of its places. Null texts have no words; rows without item_id take no part."""
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = blocks_of(benchmark, window)
-    by_item = {}
-    for r in items.toLocalIterator():
-        by_item.setdefault(r.item_id, []).append(words_of((r.text or "").encode()))
-    texts = benchmark.sparkSession.sparkContext.broadcast(by_item)
 
     def runs(doc: list[bytes]) -> list[tuple[int, int, int, int]]:
-        out = []
+        # (place in the document, place in the item, words) of every window that both have, by item
+        shared: dict[int, set[tuple[int, int, int]]] = {}
         for b in blocks:
             block = _load(b, len(blocks) == 1)
             which, places = search(block, [doc])
-            near: dict[int, set[int]] = {}
             for w, p in zip(which.tolist(), places.tolist(), strict=True):
+                n = int(block.n[w])
                 for i in block.of[block.at[w] : block.at[w + 1]].tolist():
-                    near.setdefault(block.items[i], set()).add(p)
-            for item, at in near.items():
-                for words in texts.value[item]:
-                    n = min(window, len(words))
-                    where: dict[tuple, list[int]] = {}
-                    for k in range(len(words) - n + 1):
-                        where.setdefault(tuple(words[k : k + n]), []).append(k)
-                    diagonal = {(p, k) for p in at for k in where.get(tuple(doc[p : p + n]), ())} if n else set()
-                    for p, k in diagonal:
-                        if (p - 1, k - 1) not in diagonal:
-                            m = 0
-                            while (p + m, k + m) in diagonal:
-                                m += 1
-                            out.append((item, p, k, m + n - 1))
-        return sorted(set(out))
+                    first, words = block.pieces[i]
+                    own = doc[p : p + n]
+                    shared.setdefault(block.items[i], set()).update((p, first + k, n) for k in range(len(words) - n + 1) if words[k : k + n] == own)
+        out = []
+        for item, spots in shared.items():
+            for p, k, n in spots:
+                if (p - 1, k - 1, n) not in spots:
+                    m = 1
+                    while (p + m, k + m, n) in spots:
+                        m += 1
+                    out.append((item, p, k, m + n - 1))
+        return sorted(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
