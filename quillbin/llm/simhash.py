@@ -149,18 +149,16 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def clusters(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, text_hash, fp), classes (fp, root_fp, component_id, keep_hash)).
+    """(rows (doc_id, text_hash, fp), classes (fp, component_id)).
 
     component_id is the smallest doc_id among the rows whose fingerprints are reachable; null if none has an id."""
     path = scratch(docs.sparkSession)
     rows = stored(with_fingerprint(docs, width), f"{path}/rows")
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")
-    own = stored(rows.groupBy("fp").agg(least, F.min("text_hash").alias("any_hash")), f"{path}/own")
+    own = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{path}/own")
     roots = components(links(own.select("fp"), radius, tile), path)
     named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root_fp", F.coalesce("root", "fp"))
-    best = named.groupBy("root_fp").agg(F.min("least").alias("least"), F.min("any_hash").alias("any_hash"))
-    best = best.select("root_fp", F.col("least.doc_id").alias("component_id"), F.coalesce("least.text_hash", "any_hash").alias("keep_hash"))
-    return rows, named.select("fp", "root_fp").join(best, "root_fp")
+    best = named.groupBy("root_fp").agg(F.min("least").alias("component_id"))
+    return rows, named.select("fp", "root_fp").join(best, "root_fp").drop("root_fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
