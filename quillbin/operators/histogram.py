@@ -91,6 +91,15 @@ def summary(histogram: DataFrame, keys: Keys) -> DataFrame:
     return each.select(*keys, F.coalesce("n", F.lit(0)).alias("count"), zero(F.col("s")).alias("sum"), zero(F.try_divide("s", "n")).alias("avg"), zero(variance).alias("variance"))
 
 
+def describe(histogram: DataFrame, keys: Keys, quantiles: dict[str, float]) -> DataFrame:
+    """total, avg and the named quantiles of each histogram together: one shuffle by the keys for all of them."""
+    seen = _cumulated(histogram, keys).withColumn("mid", mid_of("bucket"))
+    first = [F.min(F.when(F.col("cumulative") > F.floor(F.lit(float(q)) * F.col("total") + 0.5), F.col("bucket"))).alias(name) for name, q in quantiles.items()]
+    each = seen.groupBy(*keys).agg(F.first("total").alias("total"), F.sum(F.col("cnt") * F.col("mid")).alias("sum"), F.max("bucket").alias("hi"), *first)
+    values = [F.coalesce(low_of(name), mid_of("hi")).alias(name) for name in quantiles]
+    return each.select(*keys, "total", (F.col("sum") / F.col("total")).alias("avg"), *values)
+
+
 def distribution(histogram: DataFrame, keys: Keys) -> DataFrame:
     """(keys..., value, cumulative, total) for each bucket, the value its middle."""
     return _cumulated(histogram, keys).select(*keys, mid_of("bucket").alias("value"), "cumulative", "total")

@@ -458,9 +458,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = H.observe(event_metrics(spark, sf_dir), ["metric", "day"])
     chosen = counts.select("metric").distinct().filter(parse(_FLAGSHIP).column(T.parse_tags("metric")))
     by_day = H.merge(counts.join(chosen, "metric", "left_semi"), keys=["day"])
-    stats = H.summary(by_day, ["day"]).select("day", F.col("count").alias("total"), F.round("avg", 6).alias("avg"))
-    p95 = H.quantile(by_day, ["day"], 0.95).select("day", F.col("value").alias("p95"))
-    return stats.join(p95, "day")
+    return H.describe(by_day, ["day"], {"p95": 0.95}).select("day", "total", F.round("avg", 6).alias("avg"), "p95")
 
 
 def queries() -> dict:

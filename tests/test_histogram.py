@@ -81,3 +81,8 @@ def test_merge_equal_pack(spark, thousand):
     both = packed.select("name", H.merge_packed(F.col("hist"), F.col("hist")).alias("hist"))
     assert H.equal(H.unpack(both, ["name"]), twice, ["name"]).first().equal
     assert H.count_histograms(thousand, ["name"]).first().histograms == 1
+
+
+def test_describe_agrees_with_its_parts(thousand):
+    r = H.describe(thousand, ["name"], {"p50": 0.5, "p100": 1.0}).first()
+    assert (r.total, r.p50, r.p100) == (1000, 500.0, 998.0) and r.avg == pytest.approx(H.summary(thousand, ["name"]).first().avg)
