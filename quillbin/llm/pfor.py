@@ -28,7 +28,8 @@ SEGMENT_IDS = 2 << 20
 HEAD = struct.Struct("<8sIIQQIIB")
 MAGIC = b"QBPFOR01"
 END_ID = 2
-CACHED_WORDS, CACHED_PIECES = 300_000, 300_000
+#: What a worker remembers; longer words are encoded each time.
+CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 1_000_000, 700_000, 64
 
 
 def _default_tokenizer() -> str:
@@ -70,9 +71,10 @@ class Encoder:
         got = self.pieces.get(piece)
         if got is None:
             got = np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_map))], "<u4").tobytes()
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            if len(piece) <= CACHED_BYTES:
+                if len(self.pieces) >= CACHED_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = got
         return got
 
     def _word(self, word: bytes) -> bytes:
@@ -90,10 +92,11 @@ class Encoder:
         except KeyError:
             if len(own) >= CACHED_WORDS:
                 own.clear()
+            long = {}
             for w in words:
-                if w not in own:
-                    own[w] = self._word(w)
-            return b"".join([own[w] for w in words])
+                if w not in own and w not in long:
+                    (own if len(w) <= CACHED_BYTES else long)[w] = self._word(w)
+            return b"".join([own[w] if w in own else long[w] for w in words])
 
 
 _ENCODERS: dict[int, Encoder] = {}

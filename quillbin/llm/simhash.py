@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm._common import LOWER, binary_list, chunks, components, scratch, stored, table
+from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_path, scratch, stored, table
 
 #: Fingerprints in a tile at most: 1 MB of a worker's memory a side, before the outer products.
 TILE = 1 << 17
@@ -39,8 +39,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' hashes. No words: 0."""
-    hashes = shingle_hashes(text, width)
+    return bits_of_majority(shingle_hashes(text, width))
+
+
+def bits_of_majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the hashes. No hashes: 0."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -51,16 +54,19 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, text_hash, fp) for each row; text_hash tells apart rows that share an id."""
+    """(doc_id, text_hash, fp, shingles) for each row: text_hash tells apart rows that share an id, shingles counts distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                fps = np.array([fingerprint(t, width) for t in binary_list(part.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
+                fps, sizes = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64)
+                for k, text in enumerate(binary_list(part.column("text"))):
+                    hashes = shingle_hashes(text, width)
+                    fps[k], sizes[k] = bits_of_majority(hashes), len(np.unique(hashes))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64)), pa.array(sizes)], ["doc_id", "text_hash", "fp", "shingles"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles long")
 
 
 def _segments(x: np.ndarray) -> np.ndarray:
@@ -174,9 +180,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int
 # ---------------------------------------------------------------- verified near copies
 
 
-def tile_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones."""
+def tile_pairs(left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones.
+
+    sizes: distinct shingles of both sides; sets whose sizes differ by more than `similarity` allows cannot be that similar and are passed over."""
     other = left if right is None else right
+    l_size, r_size = sizes[0], sizes[0] if right is None else sizes[1]
     l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
     found: list[np.ndarray] = []
     step = max(1, CELLS // max(1, len(other)))
@@ -189,6 +198,9 @@ def tile_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, most: in
             if right is None:
                 close &= rows[:, None] != cols[None, :]
             i, j = np.nonzero(close)
+            a, b = l_size[rows[i]], r_size[cols[j]]
+            alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
+            i, j = i[alike], j[alike]
             if not len(i):
                 continue
             d = dist[i, j]
@@ -210,13 +222,13 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     similarity of `similarity` or more. The tiled comparison proposes each text's nearest fingerprints within `radius`; the sets decide."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
     rows = stored(with_fingerprint(docs, width), f"{path}/rows")
-    texts = stored(rows.groupBy("text_hash").agg(F.min("fp").alias("fp")), f"{path}/texts")
+    texts = stored(rows.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), f"{path}/texts")
     own, plan = _dealt(texts, radius, tile)
 
     def propose(t: pa.Table) -> pa.Table:
-        fp, th, side = t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("side").to_numpy()
+        fp, th, side, n = t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("side").to_numpy(), t.column("shingles").to_numpy()
         left, right = fp[side == 0], fp[side == 1]
-        i, j = tile_pairs(left, right if len(right) else None, radius)
+        i, j = tile_pairs(left, right if len(right) else None, (n[side == 0], n[side == 1]), radius, similarity)
         a, b = th[side == 0][i], (th[side == 1] if len(right) else th[side == 0])[j]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -246,6 +258,8 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     one = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
     roots = components(two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), path)
+    for done in ("sets", "pairs"):  # the components are written; what they came from need not stay
+        drop_path(spark, f"{path}/{done}")
     named = texts.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
     return rows, named.select("text_hash", F.coalesce("root", "text_hash").alias("root"))
 
