@@ -23,6 +23,8 @@ SAMPLE = 1500
 SAMPLE_LINES = 120_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+#: Bytes of text whose line features are held at once (a longer document is a chunk of its own): short lines take some 20 times their text.
+FEATURE_BYTES = 1 << 20
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _MARK, _PIPE, _BANG, _WIDE, _OTHER = range(10)
 CLASSES = np.full(256, _MARK, np.uint8)
@@ -219,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FEATURE_BYTES):
                 features, sizes, first = line_features(binary_list(part.column("text")))
                 cut = [features[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 lengths = [sizes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -257,7 +259,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", FEATURE_BYTES):
                 score = model.value.score(binary_list(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -272,7 +274,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", FEATURE_BYTES):
                 yield part.filter(pa.array(model.value.score(binary_list(part.column("text"))) >= threshold))
 
     return typed.mapInArrow(run, typed.schema)

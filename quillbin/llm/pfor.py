@@ -28,8 +28,8 @@ SEGMENT_IDS = 2 << 20
 HEAD = struct.Struct("<8sIIQQIIB")
 MAGIC = b"QBPFOR01"
 END_ID = 2
-#: What a worker remembers; longer words are encoded each time.
-CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 1_000_000, 700_000, 64
+#: What each of a cache's two generations holds; longer words are encoded each time.
+CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 150_000, 80_000, 64
 
 
 def _default_tokenizer() -> str:
@@ -64,16 +64,21 @@ class Encoder:
             self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.bytes_map = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(kept))}
+        # two generations each: when the younger one is full it becomes the older one, and what is asked for again comes back from there
         self.words: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_map))], "<u4").tobytes()
+            got = self.older_pieces.get(piece)
+            if got is None:
+                got = np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_map))], "<u4").tobytes()
             if len(piece) <= CACHED_BYTES:
                 if len(self.pieces) >= CACHED_PIECES:
-                    self.pieces.clear()
+                    self.older_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = got
         return got
 
@@ -91,11 +96,13 @@ class Encoder:
             return b"".join([own[w] for w in words])
         except KeyError:
             if len(own) >= CACHED_WORDS:
-                own.clear()
+                self.older_words, self.words = own, {}
+                own = self.words
             long = {}
             for w in words:
                 if w not in own and w not in long:
-                    (own if len(w) <= CACHED_BYTES else long)[w] = self._word(w)
+                    got = self.older_words.get(w)
+                    (own if len(w) <= CACHED_BYTES else long)[w] = self._word(w) if got is None else got
             return b"".join([own[w] if w in own else long[w] for w in words])
 
 
