@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm._common import binary_list, chunks, scratch, table
+from quillbin.llm._common import LOWER, binary_list, chunks, scratch, table
 
 BLOCK = 1024
 PERCENTILE = 0.95
@@ -29,7 +29,7 @@ HEAD = struct.Struct("<8sIIQQIIB")
 MAGIC = b"QBPFOR01"
 END_ID = 2
 #: What each of a cache's two generations holds; longer words are encoded each time.
-CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 150_000, 80_000, 64
+CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 300_000, 20_000, 64
 
 
 def _default_tokenizer() -> str:
@@ -41,6 +41,25 @@ def _default_tokenizer() -> str:
 # ---------------------------------------------------------------- encoding
 
 
+class Remembered(dict):
+    """What `work` gives for a key, in two generations: a full one becomes the older one, and what is asked for again comes back from there."""
+
+    def __init__(self, work: Callable, most: int):
+        super().__init__()
+        self.work, self.most, self.older = work, most, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(key) <= CACHED_BYTES:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, equal to the library's, with a cache of words.
 
@@ -49,6 +68,8 @@ class Encoder:
     words, or those with a special token's opening, to the whole tokenizer. Any other tokenizer encodes whole texts."""
 
     SIMPLE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    #: The pattern leaves a run of these behind letters as one piece (an apostrophe may begin another one).
+    TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, source: str):
         import json
@@ -61,49 +82,37 @@ class Encoder:
         kinds = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in pre.get("pretokenizers", [])]
         self.by_word = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and pre["pretokenizers"][0]["behavior"] == "Removed" and not pre["pretokenizers"][1]["add_prefix_space"] and all("<|" in x["content"] for x in spec["added_tokens"])
         if self.by_word:
-            self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
+            splits = pre["pretokenizers"][0]["pattern"]["Regex"]
+            self.pattern = regex.compile(splits)
+            self.tails = splits.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.bytes_map = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(kept))}
-        # two generations each: when the younger one is full it becomes the older one, and what is asked for again comes back from there
-        self.words: dict[bytes, bytes] = {}
-        self.older_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Remembered(self._word, CACHED_WORDS), Remembered(self._piece, CACHED_PIECES)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.older_pieces.get(piece)
-            if got is None:
-                got = np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_map))], "<u4").tobytes()
-            if len(piece) <= CACHED_BYTES:
-                if len(self.pieces) >= CACHED_PIECES:
-                    self.older_pieces, self.pieces = self.pieces, {}
-                self.pieces[piece] = got
-        return got
+        own = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes_map)
+        return np.array([t.id for t in self.tok.model.tokenize(own)], "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if self.tails:
+            core = word.rstrip(self.TAIL)
+            text = core.decode()
+            if text.isalpha() and (core.isascii() or self.SIMPLE.fullmatch(text)):
+                if len(core) < len(word):
+                    return self.words[text.lower().encode()] + self.pieces[word[len(core) :].decode()]
+                return self._piece(text.lower())
         text = word.decode()
         if self.SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._piece, self.pattern.findall(text.lower())))
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         if not self.by_word:
             return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        words, own = text.split(), self.words
-        try:
-            return b"".join([own[w] for w in words])
-        except KeyError:
-            if len(own) >= CACHED_WORDS:
-                self.older_words, self.words = own, {}
-                own = self.words
-            long = {}
-            for w in words:
-                if w not in own and w not in long:
-                    got = self.older_words.get(w)
-                    (own if len(w) <= CACHED_BYTES else long)[w] = self._word(w) if got is None else got
-            return b"".join([own[w] if w in own else long[w] for w in words])
+        # lower-casing first is the same but beside special tokens, and marks that join a letter of one case only (U+0300 to U+037F)
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.translate(LOWER)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _ENCODERS: dict[int, Encoder] = {}
