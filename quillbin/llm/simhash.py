@@ -8,7 +8,7 @@ A tile pair hands on a spanning forest of its links (never all pairs), and the f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,14 +180,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int
 # ---------------------------------------------------------------- verified near copies
 
 
-def tile_pairs(left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones.
+def tile_pairs(
+    left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3,
+    roots: tuple[np.ndarray, np.ndarray] | None = None, tried: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones. Then the
+    positions on both sides of what has further links: a link that is left out has both of its ends there.
 
-    sizes: distinct shingles of both sides; sets whose sizes differ by more than `similarity` allows cannot be that similar and are passed over."""
+    sizes: distinct shingles of both sides; sets whose sizes differ by more than `similarity` allows cannot be that similar and are passed over.
+    roots: where given, links between equal ones are passed over; tried: of positions on both sides, which links are not wanted again."""
     other = left if right is None else right
     l_size, r_size = sizes[0], sizes[0] if right is None else sizes[1]
     l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
     found: list[np.ndarray] = []
+    more: tuple[list[np.ndarray], list[np.ndarray]] = [], []
     step = max(1, CELLS // max(1, len(other)))
     for at in range(0, len(left), step):
         rows = l_order[at : at + step]
@@ -197,44 +203,68 @@ def tile_pairs(left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarr
             close = dist <= radius
             if right is None:
                 close &= rows[:, None] != cols[None, :]
+            if roots is not None:
+                close &= roots[0][rows][:, None] != roots[right is not None][cols][None, :]
             i, j = np.nonzero(close)
             a, b = l_size[rows[i]], r_size[cols[j]]
             alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
+            if tried is not None and alike.any():
+                alike[alike] = ~tried(rows[i[alike]], cols[j[alike]])
             i, j = i[alike], j[alike]
             if not len(i):
                 continue
             d = dist[i, j]
+            use = np.zeros(len(i), bool)
             for side in (i, j):
                 order = np.lexsort((i + j, d, side))
                 key = side[order]
                 begin = np.concatenate([[True], key[1:] != key[:-1]])
                 rank = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
-                use = order[rank < most]
-                found.append(np.stack([rows[i[use]], cols[j[use]]], 1))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, text_hash, fp), classes (text_hash, root)): texts joined by chains of pairs whose `width`-word shingle sets have a Jaccard
-    similarity of `similarity` or more. The tiled comparison proposes each text's nearest fingerprints within `radius`; the sets decide."""
+                use[order[rank < most]] = True
+            found.append(np.stack([rows[i[use]], cols[j[use]]], 1))
+            for ends, side in zip(more, (rows[i[~use]], cols[j[~use]]), strict=True):
+                ends.append(np.unique(side))
+    none = np.zeros(0, np.int64)
+    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1], *(np.unique(np.concatenate(x)) if x else none for x in more)
+
+
+def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float, most: int) -> pa.Table:
+    """One tile pair's links (pair, a, b), and (pair, a, no b, side) for each text that has further ones."""
+    side = t.column("side").to_numpy()
+    fp, th, n = (tuple(x[side == k] for k in (0, 1)) for x in (t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("shingles").to_numpy()))
+    two = bool((side == 1).any())
+    roots, known = None, None
+    if tried is not None:
+        all_roots = t.column("root").to_numpy()
+        roots = all_roots[side == 0], all_roots[side == 1]
+        done = set(zip(tried.column("a").to_pylist(), tried.column("b").to_pylist(), strict=True))
+
+        def known(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            x, y = th[0][i], th[two][j]
+            return np.fromiter((k in done for k in zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True)), bool, len(x))
+
+    i, j, more_i, more_j = tile_pairs(fp[0], fp[1] if two else None, n, radius, similarity, most, roots, known)
+    x, y = th[0][i], th[two][j]
+    more = [(th[0][more_i], 0), (th[two][more_j], int(two))]
+    a = np.concatenate([np.maximum(x, y), *(m for m, _ in more)])
+    b = pa.array(np.concatenate([np.minimum(x, y), *(m for m, _ in more)]), mask=np.arange(len(a)) >= len(x))
+    which = np.concatenate([np.zeros(len(x), np.int32), *(np.full(len(m), k, np.int32) for m, k in more)])
+    pair = t.column("pair")[0].as_py() if len(t) else 0
+    return pa.table({"pair": pa.array(np.full(len(a), pair, np.int64)), "a": pa.array(a), "b": b, "side": pa.array(which)})
+
+
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(rows (doc_id, text_hash, fp), classes (text_hash, root)): texts joined by chains of pairs within `radius` bits whose `width`-word shingle sets
+    have a Jaccard similarity of `similarity` or more.
+
+    The tiled comparison proposes each text's `most` nearest fingerprints in a tile pair; the sets decide. Texts with further ones are compared again,
+    round by round, without the pairs that were tried or are joined by now, until none is left: every pair is decided, and a group of copies never
+    emits all of its pairs."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
     rows = stored(with_fingerprint(docs, width), f"{path}/rows")
     texts = stored(rows.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), f"{path}/texts")
-    own, plan = _dealt(texts, radius, tile)
-
-    def propose(t: pa.Table) -> pa.Table:
-        fp, th, side, n = t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("side").to_numpy(), t.column("shingles").to_numpy()
-        left, right = fp[side == 0], fp[side == 1]
-        i, j = tile_pairs(left, right if len(right) else None, (n[side == 0], n[side == 1]), radius, similarity)
-        a, b = th[side == 0][i], (th[side == 1] if len(right) else th[side == 0])[j]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    proposed = own.join(plan, ["p", "i"]).groupBy("pair").applyInArrow(propose, "a long, b long")
-    pairs = stored(proposed.filter("a <> b").distinct(), f"{path}/pairs")
-    wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+    kinds = "pair long, a long, b long, side int"
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,24 +272,49 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
                 sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in binary_list(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.array(sets, pa.binary())], ["text_hash", "shingles"])
 
-    slim = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    sets = slim.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).mapInArrow(shingle_sets, "text_hash long, shingles binary")
-    sets = stored(sets, f"{path}/sets")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), path)
-    for done in ("sets", "pairs"):  # the components are written; what they came from need not stay
-        drop_path(spark, f"{path}/{done}")
+    slim = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+    def joined(pairs: DataFrame, turn: int) -> DataFrame:
+        """The pairs (a, b) that are similar enough."""
+        wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+        sets = stored(slim.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).mapInArrow(shingle_sets, "text_hash long, shingles binary"), f"{path}/sets{turn}")
+        one = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
+        two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
+        return two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    own, plan = _dealt(texts, radius, tile)
+    dealt = own.join(plan, ["p", "i"]).select("pair", "text_hash", "fp", "shingles", "side")
+    proposed = stored(dealt.groupBy("pair").applyInArrow(lambda t: _propose(t, None, radius, similarity, most), kinds), f"{path}/proposed0")
+    tried, edges, turn = None, None, 0
+    while True:
+        pairs = proposed.filter("b is not null and a <> b").select("pair", "a", "b").distinct()
+        new = joined(pairs.select("a", "b"), turn)
+        roots = components(new if edges is None else edges.union(new), f"{path}/turn{turn}")
+        drop_path(spark, f"{path}/sets{turn}")  # the components are written
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        tried = pairs if tried is None else tried.union(pairs)
+        over = proposed.filter("b is null").select("pair", F.col("a").alias("text_hash"), "side").distinct()
+        over = over.join(texts, "text_hash").join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+        over = stored(over.withColumn("root", F.coalesce("root", "text_hash")), f"{path}/over{turn}")
+        apart = over.groupBy("pair").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least <> last").select("pair")
+        again = over.join(apart, "pair", "left_semi")
+        turn += 1
+        if again.isEmpty():
+            break
+        past = tried.join(apart, "pair", "left_semi")
+        compare = lambda t, old: _propose(t, old, radius, similarity, most)
+        proposed = stored(again.groupBy("pair").cogroup(past.groupBy("pair")).applyInArrow(compare, kinds), f"{path}/proposed{turn}")
+        if proposed.isEmpty():
+            break
     named = texts.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
     return rows, named.select("text_hash", F.coalesce("root", "text_hash").alias("root"))
 

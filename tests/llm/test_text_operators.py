@@ -184,6 +184,40 @@ def test_forest_of_a_dense_group():
     assert len(a) == len(x) - len(base) == len(set(a.tolist())) and set(b.tolist()) <= set(x.tolist())
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for g in range(6):
+        base = rng.choice(vocabulary, 120).tolist()
+        for _ in range(14):  # more near copies than a round proposes, some of them near by a chain only
+            own = list(base)
+            for k in rng.choice(120, rng.integers(0, 6), replace=False):
+                own[k] = "other"
+            texts.append(" ".join(own))
+            if rng.random() < 0.3:
+                base = own
+    texts = list(dict.fromkeys(texts))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 14 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted(tuple(k for k in range(len(texts)) if find(k) == r) for r in {find(k) for k in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most, tile in ((1, 8), (1, 1 << 17), (3, 16)):
+        rows, classes = simhash.near_copies(docs, tile=tile, most=most)
+        groups = rows.join(classes, "text_hash").groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        assert sorted(tuple(r.ids) for r in groups.collect()) == want, (most, tile)
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, odd, none):
     rng = np.random.default_rng(1)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
@@ -356,3 +390,14 @@ def test_the_mixer_is_a_distribution():
         p = mixer.refined(mixer.mixed(*mixer.inputs(s[:, :8]), n[:8]), n[:8])
         total += np.prod(np.where(bit[:8] == 1, p, 1 - p))
     assert total == pytest.approx(1)
+
+
+def test_encoder_equals_the_library_on_odd_words():
+    with open(pfor._default_tokenizer(), encoding="utf-8") as f:
+        encode = pfor.Encoder(f.read())
+    odd = [
+        "J\u030c K\u030a E\u0301X", "A<|endoftext|>B Ok.", "<|EndOfText|> x", "it's IT'S don't' ''s x'", "É.É éX, ÑÑ!!", "İstanbul İ", "a\x1cb\x85c d", "word<| w|>. <|", "ª º µ² ǅ ß ẞ", "12abc34, a.b.c... --- x-y",
+        "a\u200bb \ufeffc", "", " ", "x" * 500 + "." * 200, "Word, word, WORD, word; WORD's",
+    ]
+    for text in odd + odd[::-1]:  # the second time from the cache
+        assert encode(text.encode()) == np.array(encode.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
