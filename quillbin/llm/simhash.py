@@ -22,6 +22,8 @@ from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_pa
 TILE = 1 << 17
 #: Cells of an outer product held at once.
 CELLS = 1 << 20
+#: Buckets over which a text's distinct shingles are counted: the sum of two texts' bucket-wise minima bounds the shingles that both have.
+SPREAD = 128
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -53,20 +55,26 @@ def bits_of_majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, text_hash, fp, shingles) for each row: text_hash tells apart rows that share an id, shingles counts distinct ones."""
+def with_fingerprint(docs: DataFrame, width: int = 4, spread: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp, shingles) for each row: text_hash tells apart rows that share an id, shingles counts distinct ones.
+
+    spread adds their counts over SPREAD buckets, in bytes (255 and more: 255)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                fps, sizes = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64)
+                fps, sizes, spreads = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64), []
                 for k, text in enumerate(binary_list(part.column("text"))):
                     hashes = shingle_hashes(text, width)
-                    fps[k], sizes[k] = bits_of_majority(hashes), len(np.unique(hashes))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64)), pa.array(sizes)], ["doc_id", "text_hash", "fp", "shingles"])
+                    distinct = np.unique(hashes)
+                    fps[k], sizes[k] = bits_of_majority(hashes), len(distinct)
+                    if spread:
+                        spreads.append(np.minimum(np.bincount((distinct % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes())
+                cols = [part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64)), pa.array(sizes), *[pa.array(spreads, pa.binary())] * spread]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "shingles", *["spread"] * spread])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles long")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles long" + ", spread binary" * spread)
 
 
 def _segments(x: np.ndarray) -> np.ndarray:
@@ -181,16 +189,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int
 
 
 def tile_pairs(
-    left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3,
+    left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], spreads: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3,
     roots: tuple[np.ndarray, np.ndarray] | None = None, tried: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones. Then the
     positions on both sides of what has further links: a link that is left out has both of its ends there.
 
-    sizes: distinct shingles of both sides; sets whose sizes differ by more than `similarity` allows cannot be that similar and are passed over.
+    sizes, spreads: distinct shingles of both sides, and their counts over buckets; sets that cannot be as similar as `similarity` by their sizes, or
+    by the most shingles that they can share, are passed over.
     roots: where given, links between equal ones are passed over; tried: of positions on both sides, which links are not wanted again."""
     other = left if right is None else right
     l_size, r_size = sizes[0], sizes[0] if right is None else sizes[1]
+    l_spread, r_spread = spreads[0], spreads[right is not None]
+    l_whole, r_whole = l_spread.sum(1, dtype=np.int64) == l_size, r_spread.sum(1, dtype=np.int64) == r_size
     l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
     found: list[np.ndarray] = []
     more: tuple[list[np.ndarray], list[np.ndarray]] = [], []
@@ -208,6 +219,10 @@ def tile_pairs(
             i, j = np.nonzero(close)
             a, b = l_size[rows[i]], r_size[cols[j]]
             alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
+            for k in range(0, len(i), 1 << 16):
+                x, y, n = rows[i[k : k + (1 << 16)]], cols[j[k : k + (1 << 16)]], (a + b)[k : k + (1 << 16)]
+                shared = np.minimum(l_spread[x], r_spread[y]).sum(1, dtype=np.int64)
+                alike[k : k + (1 << 16)] &= (shared >= similarity * (n - shared)) | ~(l_whole[x] & r_whole[y])
             if tried is not None and alike.any():
                 alike[alike] = ~tried(rows[i[alike]], cols[j[alike]])
             i, j = i[alike], j[alike]
@@ -234,6 +249,8 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
     side = t.column("side").to_numpy()
     fp, th, n = (tuple(x[side == k] for k in (0, 1)) for x in (t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("shingles").to_numpy()))
     two = bool((side == 1).any())
+    spread = np.frombuffer(b"".join(t.column("spread").to_pylist()), np.uint8).reshape(-1, SPREAD)
+    spreads = spread[side == 0], spread[side == 1]
     roots, known = None, None
     if tried is not None:
         all_roots = t.column("root").to_numpy()
@@ -244,7 +261,7 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
             x, y = th[0][i], th[two][j]
             return np.fromiter((k in done for k in zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True)), bool, len(x))
 
-    i, j, more_i, more_j = tile_pairs(fp[0], fp[1] if two else None, n, radius, similarity, most, roots, known)
+    i, j, more_i, more_j = tile_pairs(fp[0], fp[1] if two else None, n, spreads, radius, similarity, most, roots, known)
     x, y = th[0][i], th[two][j]
     more = [(th[0][more_i], 0), (th[two][more_j], int(two))]
     a = np.concatenate([np.maximum(x, y), *(m for m, _ in more)])
@@ -262,8 +279,8 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     round by round, without the pairs that were tried or are joined by now, until none is left: every pair is decided, and a group of copies never
     emits all of its pairs."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
-    rows = stored(with_fingerprint(docs, width), f"{path}/rows")
-    texts = stored(rows.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), f"{path}/texts")
+    rows = stored(with_fingerprint(docs, width, spread=True), f"{path}/rows")
+    texts = stored(rows.groupBy("text_hash").agg(*(F.min(c).alias(c) for c in ("fp", "shingles", "spread"))), f"{path}/texts")
     kinds = "pair long, a long, b long, side int"
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +309,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         return two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
     own, plan = _dealt(texts, radius, tile)
-    dealt = own.join(plan, ["p", "i"]).select("pair", "text_hash", "fp", "shingles", "side")
+    dealt = own.join(plan, ["p", "i"]).select("pair", "text_hash", "fp", "shingles", "spread", "side")
     proposed = stored(dealt.groupBy("pair").applyInArrow(lambda t: _propose(t, None, radius, similarity, most), kinds), f"{path}/proposed0")
     tried, edges, turn = None, None, 0
     while True:
