@@ -97,6 +97,26 @@ def test_chains_are_the_best_by_brute_force():
         assert score == pytest.approx(best)
 
 
+def test_a_strong_chain_hides_no_later_one():
+    first, later = list(range(0, 500, 8)), list(range(900, 960, 8))
+    got = passages.chains(first + later, first + [v + 700 for v in later])
+    assert sorted(map(len, got)) == [len(later), len(first)]
+
+
+def test_chains_within_reach_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 80))
+        x, y = rng.integers(0, 300, n).tolist(), rng.integers(0, 300, n).tolist()
+        score = [1.0] * n
+        for i in sorted(range(n), key=x.__getitem__):
+            near = [score[j] - 0.01 * (x[i] - x[j] + y[i] - y[j]) for j in range(n) if 0 < x[i] - x[j] <= 64 and 0 < y[i] - y[j] <= 64]
+            score[i] = 1 + max(0.0, *near) if near else 1.0
+        got = passages.chains(x, y)
+        assert all(0 < x[b] - x[a] <= 64 and 0 < y[b] - y[a] <= 64 for c in got for a, b in zip(c, c[1:], strict=False))
+        assert max((len(c) - sum(0.01 * (x[b] - x[a] + y[b] - y[a]) for a, b in zip(c, c[1:], strict=False)) for c in got), default=1.0) == pytest.approx(max(score))
+
+
 # ---------------------------------------------------------------- 3
 
 
