@@ -77,6 +77,19 @@ def test_passages_are_found_and_clean_documents_left(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_with_a_fifth_of_the_words_changed(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    docs, n = [], 40
+    for i in range(n):
+        shared, size = words(64), 64
+        changed = set(range(4, size, 5)) if i % 2 else set(rng.choice(np.arange(1, size - 1), size // 5, replace=False).tolist())
+        docs.append((2 * i, " ".join(words(100) + shared + words(30))))
+        docs.append((2 * i + 1, " ".join(words(30) + [f"x{i}y{k}" if k in changed else w for k, w in enumerate(shared)] + words(100))))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_doc_id)) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
+
+
 def test_odd_rows_have_no_passages(odd):
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == set()
 
