@@ -90,6 +90,22 @@ def test_passages_with_a_fifth_of_the_words_changed(spark):
     assert {frozenset((r.doc_id, r.other_doc_id)) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
 
 
+def test_every_exact_passage_is_covered(spark):
+    """Texts put together from a few pieces, some of them said again and again: each word of an exact passage of 50 words is in some passage found."""
+    rng = np.random.default_rng(7)
+    pieces = [[f"p{rng.integers(0, 200)}" for _ in range(int(rng.integers(3, 40)))] for _ in range(25)] + [["na", "na", "batman"] * 30]
+    docs = [(i, sum((pieces[k] for k in rng.integers(0, len(pieces), 14)), [])) for i in range(60)]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    covered = {(r.doc_id, k) for r in got for k in range(r.start, r.start + r.n_words)} | {(r.other_doc_id, k) for r in got for k in range(r.other_start, r.other_start + r.n_words)}
+    at: dict = {}
+    for i, w in docs:
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    shared = [v for v in at.values() if len({i for i, _ in v}) > 1]
+    missed = [[(i, k) for i, k in v if not all((i, k + j) in covered for j in range(50))] for v in shared]
+    assert shared and all(len({i for i, _ in m}) <= 1 for m in missed)  # the representative's further places are not listed
+
+
 def test_odd_rows_have_no_passages(odd):
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == set()
 
