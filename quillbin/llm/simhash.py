@@ -22,6 +22,8 @@ from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_pa
 TILE = 1 << 17
 #: Cells of an outer product held at once.
 CELLS = 1 << 20
+#: Bits within which a pair is proposed where shingle sets decide at 0.8: of 2000 made pairs just above it none lay farther apart (at 14 bits, 53).
+WIDE = 22
 #: Buckets over which a text's distinct shingles are counted: the sum of two texts' bucket-wise minima bounds the shingles that both have.
 SPREAD = 128
 
@@ -336,7 +338,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     return rows, named.select("text_hash", F.coalesce("root", "text_hash").alias("root"))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = WIDE, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """docs, all columns, with one row left of each group of near copies: that of the smallest doc_id (of repeated rows, one; a group without ids keeps
     a row of one of its texts). Null texts are one text of their own; texts without words are alike."""
     rows, classes = near_copies(docs, width, radius, similarity, tile)

@@ -278,6 +278,22 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd, none):
     assert kept.filter("doc_id = 1").count() == 1 and simhash.deduplicate(none).count() == 0
 
 
+def test_near_copies_with_far_fingerprints(spark):
+    rng, pairs = np.random.default_rng(2), []
+    while len(pairs) < 3:
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        near = list(base)
+        for k in rng.choice(300, 6, replace=False):
+            near[k] = f"z{k}"
+        one, two = " ".join(base), " ".join(near)
+        a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (one, two))
+        far = (simhash.fingerprint(one.encode(), 5) ^ simhash.fingerprint(two.encode(), 5)).bit_count() > 14
+        if far and len(a & b) >= 0.8 * len(a | b):
+            pairs += [(2 * len(pairs), one, two)]
+    rows = [(k + j, t) for k, *both in pairs for j, t in enumerate(both)]
+    assert sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [k for k, *_ in pairs]
+
+
 # ---------------------------------------------------------------- 6
 
 
