@@ -206,9 +206,11 @@ class Model:
         return 1 / (1 + np.exp(-summary(*self.lines(texts)) @ self.scale))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> Model:
-    """The chain and its scale, from labelled documents outside the held-out fold: at most `sample` of each class and SAMPLE_LINES lines.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
+    """The chain and its scale, from labelled documents outside the held-out fold: at most `sample` of each class and half of `sample_lines` lines.
 
+    Documents enter in the order of a hash of their ids, class by class; one with more lines than are left is passed over, and a class of such alone is
+    represented by its shortest document. Of several texts of an id, that of the least hash counts. So the sample does not depend on the order of rows.
     Labels that are null, without id, or of the held-out fold take no part; several labels of an id count as their mean (0.5 and more: good). A class
     without a labelled document leaves the chain untrained: the score is then the labels' share of good (0.5 without labels)."""
     spark = docs.sparkSession
@@ -217,7 +219,21 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     share = {r.good: r.n for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = [r for y in (0, 1) for r in known.filter(F.col("good") == y).orderBy(order, "doc_id").limit(sample).collect()]
-    chosen = spark.createDataFrame([(r.doc_id, r.good) for r in picked], "known_id long, good int")
+    chosen = spark.createDataFrame([(r.doc_id, r.good, k) for k, r in enumerate(picked)], "known_id long, good int, turn int")
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).withColumn("hash", F.xxhash64("text"))  # 2 * sample rows at most
+    sizes_of = met.groupBy("turn").agg(F.min(F.struct("hash", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))).alias("x"))
+    sized = {r.turn: (r.x.hash, r.x.n) for r in sizes_of.collect()}  # a row for each picked label
+    wanted: list[tuple[int, int]] = []
+    for y in (0, 1):
+        own, left, some = [k for k, r in enumerate(picked) if r.good == y and k in sized], sample_lines // 2, []
+        for k in own:
+            if sized[k][1] <= left:
+                some.append(k)
+                left -= sized[k][1]
+        wanted += [(k, sized[k][0]) for k in some or sorted(own, key=lambda k: (sized[k][1], k))[:1]]
+    taken = spark.createDataFrame(wanted, "turn int, hash long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,19 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
                 features, sizes, first = line_features(binary_list(part.column("text")))
                 cut = [features[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 lengths = [sizes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array(cut, pa.binary()), pa.array(lengths, pa.binary())], ["doc_id", "good", "x", "sizes"])
+                yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("good"), pa.array(cut, pa.binary()), pa.array(lengths, pa.binary())], ["turn", "good", "x", "sizes"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select("doc_id", "text", "good")  # 2 * sample rows at most
-    rows = met.mapInArrow(run, "doc_id long, good int, x binary, sizes binary").toLocalIterator()
-    xs, ss, ys, n = [], [], [], 0
+    texts = met.join(F.broadcast(taken), ["turn", "hash"]).select("turn", "good", "text").dropDuplicates(["turn"])
+    xs, ss, ys = [], [], []
     width = 3 * _OWN - 2 + 1
-    for r in rows:
-        x = np.frombuffer(r.x, np.float32).reshape(-1, width)
-        if len(ys) < 2 * sample and (n := n + len(x)) <= SAMPLE_LINES:
-            xs.append(x)
-            ss.append(np.frombuffer(r.sizes))
-            ys.append(r.good)
+    for r in sorted(texts.mapInArrow(run, "turn int, good int, x binary, sizes binary").toLocalIterator(), key=lambda r: r.turn):
+        xs.append(np.frombuffer(r.x, np.float32).reshape(-1, width))
+        ss.append(np.frombuffer(r.sizes))
+        ys.append(r.good)
     y = np.array(ys)
     total = share.get(0, 0) + share.get(1, 0)
     if len(set(ys)) < 2:

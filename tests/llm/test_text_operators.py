@@ -466,3 +466,32 @@ def test_encoder_equals_the_library_on_odd_words():
     ]
     for text in odd + odd[::-1]:  # the second time from the cache
         assert encode(text.encode()) == np.array(encode.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_quality_sample_passes_over_one_long_document(spark):
+    lines = lambda y, k: "\n".join(f"{'A clean line of words, number' if y else 'buy||| CHEAP!!! ###'} {k} {j}" for j in range(3))
+    rows = [(0, "one short line\n" * 5000)] + [(k, lines(k % 2, k)) for k in range(1, 200)]
+    labels = spark.createDataFrame([(k, 1 if k == 0 else k % 2) for k, _ in rows], "doc_id long, quality int")
+    fits = [crf.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, sample_lines=2000) for n, r in ((1, rows), (7, rows[::-1]))]
+    assert np.array_equal(fits[0].w, fits[1].w) and np.array_equal(fits[0].scale, fits[1].scale) and np.abs(fits[0].w).max() > 0.1
+    good, bad = fits[0].score([lines(1, 500).encode(), lines(0, 500).encode()])
+    assert good > 0.7 and bad < 0.3
+
+
+def test_quality_score_against_brute_force(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    rows = [(k, "\n".join("".join(rng.choice(list("abcXYZ019 !|.é"), 12)) for _ in range(1 + k % 5))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k, _ in rows], "doc_id long, quality int")
+    model = crf.fit(docs, labels)
+    got = {r.doc_id: r.score for r in crf.quality(docs, labels).collect()}
+    for k, text in [*rows[::7], (60, "")]:
+        x, sizes, _ = crf.line_features([text.encode()])
+        s = x @ model.w
+        weight = {y: np.exp(sum(s[i] * y[i] for i in range(len(s))) + sum(model.trans[a, b] for a, b in zip(y, y[1:], strict=False))) for y in product((0, 1), repeat=len(s))}
+        good = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(len(s))]
+        mean = min(max(np.average(good, weights=[len(line.encode()) + 1 for line in text.split("\n")]), 3e-4), 1 - 3e-4)
+        want = 1 / (1 + np.exp(-(model.scale[0] + model.scale[1] * np.log(mean / (1 - mean)))))
+        assert abs(got[k] - want) < 1e-9
