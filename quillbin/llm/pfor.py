@@ -1,9 +1,10 @@
 """Token-ID output in patched frame-of-reference blocks.
 
-A document table goes out in ascending doc_id order as files of one segment each. A segment has a table of its documents and blocks of
-`BLOCK` ids; a block is coded as its minimum, the differences' low bits packed at a width that a percentile of the differences needs, and an
-exception list with the positions and high bits of the larger ones. An index holds where each block starts, so a range of ids can be read alone.
-Segment files are written by Spark's file writer (its commit protocol keeps exactly one attempt of each task) to any Hadoop file system.
+A document table goes out in ascending doc_id order as segments. A segment has a table of its documents and blocks of `BLOCK` ids; a block is coded as
+its minimum, the differences' low bits packed at a width that a percentile of the differences needs, and an exception list with the positions and high
+bits of the larger ones. An index holds where each block starts, so a range of ids can be read alone. Many segments lie in one Parquet file, uncompressed,
+beside columns with their sizes and first and last doc_ids: its footer is the index of segments, and totals are read without a segment's bytes. Spark's
+file writer puts them on any Hadoop file system (its commit protocol keeps exactly one attempt of each task).
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm._common import LOWER, binary_list, chunks, scratch, table
+from quillbin.llm._common import LOWER, binary_list, chunks, lean, scratch, table
 
 BLOCK = 1024
 PERCENTILE = 0.95
 #: A segment is closed once it holds so many ids (a longer document makes a longer segment).
-SEGMENT_IDS = 2 << 20
+SEGMENT_IDS = 1 << 19
+#: Bytes of segments that the writer and the readers of a file hold at once.
+ROW_GROUP = 8 << 20
 HEAD = struct.Struct("<8sIIQQIIB")
 MAGIC = b"QBPFOR01"
 END_ID = 2
 #: What each of a cache's two generations holds; longer words are encoded each time.
-CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 300_000, 20_000, 64
+CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 150_000, 20_000, 64
 
 
 def _default_tokenizer() -> str:
@@ -65,7 +68,8 @@ class Encoder:
 
     For a tokenizer that lower-cases, drops white space and splits words by a pattern, no id depends on another word: texts are cut at ASCII
     white space, words of ASCII and Latin-1 letters are split by the tokenizer's own pattern and go to its model directly, and all other
-    words, or those with a special token's opening, to the whole tokenizer. Any other tokenizer encodes whole texts."""
+    words, or those with a special token's opening, to the whole tokenizer. Any other tokenizer encodes whole texts. Bytes that are not valid UTF-8
+    are replacement characters."""
 
     SIMPLE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     #: The pattern leaves a run of these behind letters as one piece (an apostrophe may begin another one).
@@ -96,19 +100,19 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         if self.tails:
             core = word.rstrip(self.TAIL)
-            text = core.decode()
+            text = core.decode("utf-8", "replace")
             if text.isalpha() and (core.isascii() or self.SIMPLE.fullmatch(text)):
                 if len(core) < len(word):
                     return self.words[text.lower().encode()] + self.pieces[word[len(core) :].decode()]
                 return self._piece(text.lower())
-        text = word.decode()
+        text = word.decode("utf-8", "replace")
         if self.SIMPLE.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         if not self.by_word:
-            return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         # lower-casing first is the same but beside special tokens, and marks that join a letter of one case only (U+0300 to U+037F)
         if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
             text = text.translate(LOWER)
@@ -185,10 +189,6 @@ def write_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray,
     return b"".join([head, *(x.tobytes() for x in parts)])
 
 
-def head_of(data: bytes) -> tuple:
-    return HEAD.unpack_from(data)
-
-
 class Segment:
     """Reads a segment: documents' ids and counts, and any range of ids by way of the block index."""
 
@@ -239,8 +239,11 @@ class Segment:
 # ---------------------------------------------------------------- Spark
 
 
+SEGMENT_ROW = "partition int, before long, n_ids long, n_docs long, first_id long, last_id long, data binary"
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Encodes every text (null: empty), appends end_id, and writes segment files below `path` in ascending doc_id order.
+    """Encodes every text (null: empty), appends end_id, and writes segments below `path` in ascending doc_id order.
 
     Rows without id come first; equal ids are ordered by a hash of the text, and repeated rows are all written. One shuffle, of the texts, by ranges."""
     spark = docs.sparkSession
@@ -258,12 +261,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         def close() -> pa.RecordBatch:
             nonlocal before, size
             data = write_segment(doc_ids, counts, np.frombuffer(b"".join(held), "<u4"), partition, before)
+            ends = pa.array([doc_ids[0]], pa.int64()), pa.array([doc_ids[-1]], pa.int64())
+            row = [pa.array([partition], pa.int32()), pa.array([before]), pa.array([size]), pa.array([len(doc_ids)]), *ends, pa.array([data], pa.binary())]
             before += size
             size = 0
             for x in (doc_ids, counts, held):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays(row, ["partition", "before", "n_ids", "n_docs", "first_id", "last_id", "data"])
 
+        lean()
         for batch in batches:
             for part in chunks(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), binary_list(part.column("text")), strict=True):
@@ -279,8 +285,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     ordered = slim.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
-    # bytes pass through the text writer as they are; a line end follows each segment, and each segment has a file of its own
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    files = ordered.mapInArrow(run, SEGMENT_ROW).write.mode("overwrite").option("compression", "none")
+    files.option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -288,7 +294,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content"):
+            for data in batch.column("data"):
                 seg = Segment(data.as_py())
                 ids = seg.ids()
                 ends = np.cumsum(seg.counts.astype(np.int64))
@@ -302,21 +308,14 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [head_of(data.as_py()) for data in batch.column("head")]
-            yield pa.RecordBatch.from_arrays([pa.array([h[1] for h in heads], pa.int32()), pa.array([h[4] for h in heads], pa.int64())], ["partition", "n"])
-
-    size = HEAD.size
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
-    heads = files.select(F.substring("content", 1, size).alias("head")).mapInArrow(totals, "partition int, n long")
-    sizes = sorted((r.partition, r.n) for r in heads.groupBy("partition").agg(F.sum("n").alias("n")).collect())  # a row for each task that wrote
+    files = spark.read.schema(SEGMENT_ROW).parquet(path)
+    sizes = sorted((r.partition, r.n) for r in files.groupBy("partition").agg(F.sum("n_ids").alias("n")).collect())  # a row for each task that wrote
     base, rows = 0, []
     for partition, n in sizes:
         rows.append((partition, base))
         base += n
     bases = spark.createDataFrame(rows, "partition int, base long")
-    read = files.select("content").mapInArrow(run, "partition int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    read = files.select("data").mapInArrow(run, "partition int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     out = read.join(F.broadcast(bases), "partition")  # a row for each task that wrote
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
