@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,14 +53,33 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def lean() -> None:
+    """Gives back memory that this worker has freed: what an earlier task of another stage has held stays with a reused worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken) for name in names]
+
+
+#: Scratch folders of this process that have not been dropped.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; it goes when the driver ends.
+    """A new folder below spark.checkpoint.dir, which all executors share; it goes when the driver ends, or by drop_scratch.
 
-    A folder of this process is made only where that setting is absent (tests, local mode)."""
+    Where that setting is absent, a folder of this machine is made in local mode; on a cluster, whose executors would not see it, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("quillbin.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillbin-")
         spark.conf.set("quillbin.scratch", base)
     path = f"{base}/quillbin-{uuid.uuid4().hex}"
@@ -67,9 +88,24 @@ def scratch(spark: SparkSession) -> str:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    MADE.append(path)
     return path
 
 
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders that no DataFrame in use reads any more, and lets Spark drop the shuffles that nothing refers to."""
+    for path in paths:
+        drop_path(spark, path)
+        if path in MADE:
+            MADE.remove(path)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Spark deletes the shuffles of a plan once the driver's collector has found it unreachable, which may take long without this."""
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

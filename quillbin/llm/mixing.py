@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillbin.llm._common import binary_list, chunks, scratch, stored, table
+from quillbin.llm._common import binary_list, chunks, fresh, scratch, stored, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -166,13 +166,14 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: docs' rows, all columns, each as often as allot says."""
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    key = F.xxhash64(*(docs[c] for c in plain))
-    taken = allot(docs, weights, share, most, seed, key).groupBy("doc_id", "key").agg(F.sum("copies").alias("__copies"))
-    taken = taken.filter("__copies > 0").select(F.col("doc_id").alias("__taken_id"), F.col("key").alias("__taken_key"), "__copies")
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": key})
-    met = marked.join(taken, F.col("__id").eqNullSafe(F.col("__taken_id")) & (F.col("__key") == F.col("__taken_key"))).dropDuplicates(["__id", "__key"])
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(docs.columns))
+    own_id, own_key, taken_id, taken_key, n, copy = fresh(docs, "own_id", "own_key", "taken_id", "taken_key", "times", "copy")
+    plain = [F.col(f"`{c.replace('`', '``')}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    key = F.xxhash64(*plain)
+    taken = allot(docs, weights, share, most, seed, key).groupBy("doc_id", "key").agg(F.sum("copies").alias(n)).filter(F.col(n) > 0)
+    taken = taken.withColumnsRenamed({"doc_id": taken_id, "key": taken_key})
+    marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_key: key})
+    met = marked.join(taken, F.col(own_id).eqNullSafe(F.col(taken_id)) & (F.col(own_key) == F.col(taken_key))).dropDuplicates([own_id, own_key])
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(own_id, own_key, taken_id, taken_key, n, copy)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are grouped by population count. Two fingerprints within `radius` bits have population counts within `radius` of each other,
-so only tile pairs of such counts are compared; the others are skipped. Inside a tile pair the same bound holds for the sums of the
-differences of the four 16-bit parts' counts, which skips most sub-tiles. What remains is compared exactly: numpy exclusive-or and bit counts.
-A tile pair hands on a spanning forest of its links (never all pairs), and the forests are joined by distributed components.
+Fingerprints are laid out by population count and cut into tiles of equal size. Two fingerprints within `radius` bits have population counts within
+`radius` of each other, so a fingerprint only goes to the pairs of its tile with tiles of such counts; the others are skipped. Inside a tile pair the
+same bound holds for the sums of the differences of the four 16-bit parts' counts, which skips most sub-tiles. What remains is compared exactly: numpy
+exclusive-or and bit counts. A tile pair hands on a spanning forest of its links (never all pairs), and the forests are joined by distributed components.
 """
 
 from __future__ import annotations
@@ -16,16 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_path, scratch, stored, table
+from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_path, fresh, scratch, stored, sweep, table
 
-#: Fingerprints in a tile at most: 1 MB of a worker's memory a side, before the outer products.
-TILE = 1 << 17
+#: Fingerprints in a tile: a pair's rows are some 50 MB a side where sketches go along. Fewer rows make LEAST_TILES of at least LEAST_ROWS, for the tasks' sake.
+TILE, LEAST_TILES, LEAST_ROWS = 1 << 19, 8, 4096
 #: Cells of an outer product held at once.
 CELLS = 1 << 20
 #: Bits within which a pair is proposed where shingle sets decide at 0.8: of 2000 made pairs just above it none lay farther apart (at 14 bits, 53).
 WIDE = 22
-#: Buckets over which a text's distinct shingles are counted: the sum of two texts' bucket-wise minima bounds the shingles that both have.
-SPREAD = 128
+#: Parts of a text's second fingerprint: four bits of the least shingle hash in each of so many ranges of hashes.
+SKETCH = 256
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -57,26 +57,51 @@ def bits_of_majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4, spread: bool = False) -> DataFrame:
+def sketch(distinct: np.ndarray) -> bytes:
+    """SKETCH parts of ascending distinct hashes: the last four bits of the least hash in each range (1 for 0), 0 where a range has none.
+
+    Sets that differ in d hashes differ in d parts at most, and sets of similarity s in SKETCH * (1 - s) parts at most on average."""
+    ranges = (distinct >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(ranges, prepend=-1))
+    parts = np.zeros(SKETCH, np.uint8)
+    parts[ranges[first]] = np.maximum(distinct[first] & np.uint64(15), np.uint64(1)).astype(np.uint8)
+    return (parts[::2] << 4 | parts[1::2]).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many parts sketches (rows of integers) differ."""
+    d = x ^ y
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+def most_apart(both: np.ndarray, similarity: float) -> np.ndarray:
+    """Parts in which the sketches of two sets, `both` hashes together, may differ: what their difference can amount to, and eight deviations above the mean."""
+    rate = 1 - similarity
+    return np.minimum(both * rate / (1 + similarity) + 1e-9, SKETCH * rate + 8 * np.sqrt(SKETCH * rate * (1 - rate)))
+
+
+def with_fingerprint(docs: DataFrame, width: int = 4, sketched: bool = False) -> DataFrame:
     """(doc_id, text_hash, fp, shingles) for each row: text_hash tells apart rows that share an id, shingles counts distinct ones.
 
-    spread adds their counts over SPREAD buckets, in bytes (255 and more: 255)."""
+    sketched adds their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                fps, sizes, spreads = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64), []
+                fps, sizes, sketches = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64), []
                 for k, text in enumerate(binary_list(part.column("text"))):
                     hashes = shingle_hashes(text, width)
                     distinct = np.unique(hashes)
                     fps[k], sizes[k] = bits_of_majority(hashes), len(distinct)
-                    if spread:
-                        spreads.append(np.minimum(np.bincount((distinct % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes())
-                cols = [part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64)), pa.array(sizes), *[pa.array(spreads, pa.binary())] * spread]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "shingles", *["spread"] * spread])
+                    if sketched:
+                        sketches.append(sketch(distinct))
+                cols = [part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64)), pa.array(sizes), *[pa.array(sketches, pa.binary())] * sketched]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "shingles", *["sketch"] * sketched])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles long" + ", spread binary" * spread)
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, shingles long" + ", sketch binary" * sketched)
 
 
 def _segments(x: np.ndarray) -> np.ndarray:
@@ -135,33 +160,39 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
     return values[node], values[lab[node]]
 
 
-def _dealt(fps: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(fps with their tile (p, i), plan (pair, p, i, side)): the tiles of each population count, and the pairs of tiles to compare.
+def _dealt(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fps once for each pair of tiles that it is compared in: pair, side, own (the pair of a tile with itself, which has side 0 alone).
 
-    A tile is compared with itself in a pair that has it on side 0 alone."""
-    spark = fps.sparkSession
-    counts = {r.p: r.n for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    blocks = {p: -(-n // tile) for p, n in counts.items()}
-    tiles = [(p, i) for p in sorted(blocks) for i in range(blocks[p])]
-    pairs = [(x, y) for k, x in enumerate(tiles) for y in tiles[k:] if y[0] - x[0] <= radius]
-    sides = [(n, p, i, s) for n, pair in enumerate(pairs) for s, (p, i) in enumerate(pair) if s == 0 or pair[0] != pair[1]]
-    plan = spark.createDataFrame(sides, "pair long, p int, i int, side int")
-    count_of = spark.createDataFrame(sorted(blocks.items()), "p int, n int")  # 65 rows at most
-    own = fps.withColumn("p", F.bit_count("fp")).join(F.broadcast(count_of), "p").withColumn("i", F.pmod(F.xxhash64(*fps.columns), F.col("n")).cast("int"))
-    return own.select(*fps.columns, "p", "i"), plan
+    Rows are numbered by population count, in order of a hash where they share one; so a tile is a range of numbers, and what lies within `radius` of a
+    count is another range. Only the counts of the 65 population counts come to the driver."""
+    n = np.zeros(65, np.int64)
+    for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect():
+        n[r.p] = r.n
+    at = np.concatenate([[0], np.cumsum(n)])
+    tiles = max(1, -(-int(at[-1]) // tile), min(LEAST_TILES, int(at[-1]) // LEAST_ROWS))
+    size = max(1, -(-int(at[-1]) // tiles))
+    first = [int(at[max(0, p - radius)]) // size for p in range(65)]
+    last = [max(0, int(at[min(65, p + radius + 1)]) - 1) // size for p in range(65)]
+    of = lambda values: F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values)), (F.bit_count("fp") + 1).cast("int"))
+    number = of(at[:65]) + F.pmod(F.xxhash64(*fps.columns), F.greatest(of(n), F.lit(1)))
+    own = fps.withColumn("tile", F.floor(number / F.lit(size)).cast("long")).withColumn("other", F.explode(F.sequence(of(first), of(last))))
+    pair = F.least("tile", "other") * F.lit(tiles) + F.greatest("tile", "other")
+    return own.select(*fps.columns, pair.alias("pair"), (F.col("other") < F.col("tile")).cast("int").alias("side"), (F.col("other") == F.col("tile")).alias("own"))
 
 
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) that connect exactly those that links connect."""
-    own, plan = _dealt(fps, radius, tile)
 
     def compare(t: pa.Table) -> pa.Table:
         fp, side = t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy()
         left, right = fp[side == 0], fp[side == 1]
-        a, b = tile_forest(left, right if len(right) else None, radius) if len(left) else (fp[:0], fp[:0])
+        if len(t) and t.column("own")[0].as_py():
+            a, b = tile_forest(left, None, radius)
+        else:
+            a, b = tile_forest(left, right, radius) if len(left) and len(right) else (fp[:0], fp[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return own.join(plan, ["p", "i"]).groupBy("pair").applyInArrow(compare, "a long, b long")
+    return _dealt(fps, radius, tile).groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def clusters(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -191,19 +222,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile: int
 
 
 def tile_pairs(
-    left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], spreads: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3,
+    left: np.ndarray, right: np.ndarray | None, sizes: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, most: int = 3,
     roots: tuple[np.ndarray, np.ndarray] | None = None, tried: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions (in left, in right or left) of links of at most `radius` bits: of each fingerprint, on either side, its `most` nearest ones. Then the
     positions on both sides of what has further links: a link that is left out has both of its ends there.
 
-    sizes, spreads: distinct shingles of both sides, and their counts over buckets; sets that cannot be as similar as `similarity` by their sizes, or
-    by the most shingles that they can share, are passed over.
+    sizes, sketches: distinct shingles of both sides, and their sketches as rows of integers; sets that cannot be as similar as `similarity` by their
+    sizes, or whose sketches are farther apart than such sets' are, are passed over.
     roots: where given, links between equal ones are passed over; tried: of positions on both sides, which links are not wanted again."""
     other = left if right is None else right
     l_size, r_size = sizes[0], sizes[0] if right is None else sizes[1]
-    l_spread, r_spread = spreads[0], spreads[right is not None]
-    l_whole, r_whole = l_spread.sum(1, dtype=np.int64) == l_size, r_spread.sum(1, dtype=np.int64) == r_size
+    l_sketch, r_sketch = sketches[0], sketches[right is not None]
     l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
     found: list[np.ndarray] = []
     more: tuple[list[np.ndarray], list[np.ndarray]] = [], []
@@ -221,10 +251,11 @@ def tile_pairs(
             i, j = np.nonzero(close)
             a, b = l_size[rows[i]], r_size[cols[j]]
             alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
+            i, j, both = i[alike], j[alike], (a + b)[alike]
+            alike = np.zeros(len(i), bool)
             for k in range(0, len(i), 1 << 16):
-                x, y, n = rows[i[k : k + (1 << 16)]], cols[j[k : k + (1 << 16)]], (a + b)[k : k + (1 << 16)]
-                shared = np.minimum(l_spread[x], r_spread[y]).sum(1, dtype=np.int64)
-                alike[k : k + (1 << 16)] &= (shared >= similarity * (n - shared)) | ~(l_whole[x] & r_whole[y])
+                x, y, z = rows[i[k : k + (1 << 16)]], cols[j[k : k + (1 << 16)]], both[k : k + (1 << 16)]
+                alike[k : k + (1 << 16)] = apart(l_sketch[x], r_sketch[y]) <= most_apart(z, similarity)
             if tried is not None and alike.any():
                 alike[alike] = ~tried(rows[i[alike]], cols[j[alike]])
             i, j = i[alike], j[alike]
@@ -250,9 +281,9 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
     """One tile pair's links (pair, a, b), and (pair, a, no b, side) for each text that has further ones."""
     side = t.column("side").to_numpy()
     fp, th, n = (tuple(x[side == k] for k in (0, 1)) for x in (t.column("fp").to_numpy().view(np.uint64), t.column("text_hash").to_numpy(), t.column("shingles").to_numpy()))
-    two = bool((side == 1).any())
-    spread = np.frombuffer(b"".join(t.column("spread").to_pylist()), np.uint8).reshape(-1, SPREAD)
-    spreads = spread[side == 0], spread[side == 1]
+    two = not (len(t) and t.column("own")[0].as_py())
+    sketches_ = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 16)
+    sketches = sketches_[side == 0], sketches_[side == 1]
     roots, known = None, None
     if tried is not None:
         all_roots = t.column("root").to_numpy()
@@ -263,14 +294,14 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
             x, y = th[0][i], th[two][j]
             return np.fromiter((k in done for k in zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True)), bool, len(x))
 
-    i, j, more_i, more_j = tile_pairs(fp[0], fp[1] if two else None, n, spreads, radius, similarity, most, roots, known)
+    i, j, more_i, more_j = tile_pairs(fp[0], fp[1] if two else None, n, sketches, radius, similarity, most, roots, known)
     x, y = th[0][i], th[two][j]
     more = [(th[0][more_i], 0), (th[two][more_j], int(two))]
     a = np.concatenate([np.maximum(x, y), *(m for m, _ in more)])
     b = pa.array(np.concatenate([np.minimum(x, y), *(m for m, _ in more)]), mask=np.arange(len(a)) >= len(x))
     which = np.concatenate([np.zeros(len(x), np.int32), *(np.full(len(m), k, np.int32) for m, k in more)])
     pair = t.column("pair")[0].as_py() if len(t) else 0
-    return pa.table({"pair": pa.array(np.full(len(a), pair, np.int64)), "a": pa.array(a), "b": b, "side": pa.array(which)})
+    return pa.table({"pair": pa.array(np.full(len(a), pair, np.int64)), "a": pa.array(a), "b": b, "side": pa.array(which), "own": pa.array(np.full(len(a), not two))})
 
 
 def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE, most: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +310,11 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
 
     The tiled comparison proposes each text's `most` nearest fingerprints in a tile pair; the sets decide. Texts with further ones are compared again,
     round by round, without the pairs that were tried or are joined by now, until none is left: every pair is decided, and a group of copies never
-    emits all of its pairs."""
+    emits all of its pairs. A round allows eight times the last one's proposals for a text, so that rounds are few."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
-    rows = stored(with_fingerprint(docs, width, spread=True), f"{path}/rows")
-    texts = stored(rows.groupBy("text_hash").agg(*(F.min(c).alias(c) for c in ("fp", "shingles", "spread"))), f"{path}/texts")
-    kinds = "pair long, a long, b long, side int"
+    rows = stored(with_fingerprint(docs, width, sketched=True), f"{path}/rows")
+    texts = stored(rows.groupBy("text_hash").agg(*(F.min(c).alias(c) for c in ("fp", "shingles", "sketch"))), f"{path}/texts")
+    kinds = "pair long, a long, b long, side int, own boolean"
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,8 +341,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
-    own, plan = _dealt(texts, radius, tile)
-    dealt = own.join(plan, ["p", "i"]).select("pair", "text_hash", "fp", "shingles", "spread", "side")
+    dealt = _dealt(texts, radius, tile)
     proposed = stored(dealt.groupBy("pair").applyInArrow(lambda t: _propose(t, None, radius, similarity, most), kinds), f"{path}/proposed0")
     tried, edges, turn = None, None, 0
     while True:
@@ -319,9 +349,10 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         new = joined(pairs.select("a", "b"), turn)
         roots = components(new if edges is None else edges.union(new), f"{path}/turn{turn}")
         drop_path(spark, f"{path}/sets{turn}")  # the components are written
+        sweep(spark)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         tried = pairs if tried is None else tried.union(pairs)
-        over = proposed.filter("b is null").select("pair", F.col("a").alias("text_hash"), "side").distinct()
+        over = proposed.filter("b is null").select("pair", F.col("a").alias("text_hash"), "side", "own").distinct()
         over = over.join(texts, "text_hash").join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
         over = stored(over.withColumn("root", F.coalesce("root", "text_hash")), f"{path}/over{turn}")
         apart = over.groupBy("pair").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least <> last").select("pair")
@@ -330,7 +361,9 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         if again.isEmpty():
             break
         past = tried.join(apart, "pair", "left_semi")
-        compare = lambda t, old: _propose(t, old, radius, similarity, most)
+        # few texts are left, so each may hand on more
+        now = most * 8**turn
+        compare = lambda t, old: _propose(t, old, radius, similarity, now)
         proposed = stored(again.groupBy("pair").cogroup(past.groupBy("pair")).applyInArrow(compare, kinds), f"{path}/proposed{turn}")
         if proposed.isEmpty():
             break
@@ -344,10 +377,11 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = WIDE, similarity:
     rows, classes = near_copies(docs, width, radius, similarity, tile)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
     kept = rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).join(classes, "text_hash").groupBy("root").agg(best)
-    kept = kept.select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_hash").alias("__keep_hash"))
-    marked = docs.withColumns({"__hash": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
-    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
-    return found.dropDuplicates(["__id", "__hash"]).drop("__hash", "__id")
+    own_id, own_hash, keep_id, keep_hash = fresh(docs, "own_id", "own_hash", "keep_id", "keep_hash")
+    kept = kept.select(F.col("best.doc_id").alias(keep_id), F.col("best.text_hash").alias(keep_hash))
+    marked = docs.withColumns({own_hash: F.xxhash64("text"), own_id: F.col("doc_id").cast("long")})
+    found = marked.join(kept, F.col(own_id).eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)), "left_semi")
+    return found.dropDuplicates([own_id, own_hash]).drop(own_hash, own_id)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
