@@ -442,21 +442,93 @@ def test_unigrams_against_brute_force(spark, documents, texts, odd, none):
     assert len(rows) == odd.count() and sum(r.bits_per_byte is None for r in rows) == 3 and lm.score(none).count() == 0
 
 
-def test_the_mixer_is_a_distribution():
+def test_the_speller_is_a_distribution():
     """Probabilities of all continuations of a prefix by one byte add up to the prefix's own."""
-    z, o = np.random.default_rng(0).integers(0, 9, (2, lm.TOTAL))
-    mixer = lm.Mixer(z, o)
-    slots, _, node, word = lm.expand([b"a" + bytes([b]) for b in range(33, 255)])
-    first = [lm.expand([b"ab"])[0][:, :8], lm.expand([b"ac"])[0][:, :8]]
+    widths = lm.widths_for(1)
+    z, o = np.random.default_rng(0).integers(0, 9, (2, sum(1 << b for b in widths)))
+    speller = lm.Speller(lm.state_of(z, o), widths)
+    slots, _, node, word = lm.expand([b"a" + bytes([b]) for b in range(33, 255)], widths)
+    first = [lm.expand([w], widths)[0][:, :8] for w in (b"ab", b"ac")]
     assert np.array_equal(*first) and node.max() < 256 and word.max() == 221
     total = 0.0
     for b in range(256):
-        s, bit, n, _ = lm.expand([bytes([b])])
-        p = mixer.refined(mixer.mixed(*mixer.inputs(s[:, :8]), n[:8]), n[:8])
+        s, bit, n, _ = lm.expand([bytes([b])], widths)
+        p = speller.refined(speller.mixed(*speller.inputs(s[:, :8]), n[:8]), n[:8])
         total += np.prod(np.where(bit[:8] == 1, p, 1 - p))
     assert total == pytest.approx(1)
 
 
+def _passages_of(words, lexicon):
+    """(hash of the context, first token, tokens) of a text's continuations, one token after another."""
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    out = []
+    for i in range(lm.CONTEXT, len(words)):
+        key = 0
+        for k in range(1, lm.CONTEXT + 1):
+            key = ((key ^ h[i - k]) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+            key ^= key >> 29
+        if key % lm.EVERY == 0:
+            out.append([key, i, []])
+    for n, x in enumerate(out):
+        x[2] = tuple(words[x[1] : min(out[n + 1][1] if n + 1 < len(out) else len(words), x[1] + lm.LONGEST)])
+    return out
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Every decision made one after another, with the trained weights."""
+    monkeypatch.setattr(lm, "HEAVY", 40)
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    passage = list(rng.choice(vocabulary, 90))
+    texts = [" ".join([*rng.choice(vocabulary, 12), *passage[k % 7 : 60 + k], *rng.choice(vocabulary, 9), f"odd{k}x"]) for k in range(40)] + ["", "one", texts_again := " ".join(passage), texts_again]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    out, model = lm.scored(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in out.collect()}
+    words = {k: [*lm.tokens_of(t.encode()), lm.END] for k, t in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    seen: dict = {}
+    for k, w in words.items():
+        for key, _, tokens in _passages_of(w, model.lexicon):
+            if not held[k]:
+                seen.setdefault(key, Counter())[tokens] += 1
+    code = lambda tokens: b"".join(model.lexicon.numbers[w].to_bytes(2, "little") if w in model.lexicon.numbers else b"\xff\xff" + b"".join((xxhash.xxh64_intdigest(w) >> 15 * k & 0x7FFF).to_bytes(2, "little") for k in range(3)) for w in tokens)
+    share = lambda w: model.lexicon.share[model.lexicon.numbers[w]] if w in model.lexicon.numbers else model.lexicon.others + model.speller.cost([w])[0]
+    hits = 0
+    for k, w in words.items():
+        want = sum(map(share, w))
+        for key, _, tokens in _passages_of(w, model.lexicon):
+            if key not in seen:
+                continue
+            top = max(seen[key], key=lambda t: (seen[key][t], code(t)))
+            n, total = seen[key][top] - (not held[k] and top == tokens), sum(seen[key].values()) - (not held[k])
+            if n <= 0 or total <= 0:
+                continue
+            for step, expected in enumerate(top[: len(tokens)]):
+                number = model.lexicon.numbers.get(expected, lm.RARE)
+                kind = 6 if number == lm.RARE else sum(number >= x for x in (1, 64, 1024, 8192, 32768))
+                pure = (n / total >= 0.5) + (n / total >= 0.75) + (n == total)
+                cell = min(step, 31) | min(int(np.log2(n)), 7) << 5 | pure << 8 | kind << 10 | (number * 2654435761 >> 7 & 4095) << 13
+                p = model.matcher.probability(np.array([cell]))[0]
+                if tokens[step] != expected:
+                    want += np.log10(1 - p)
+                    break
+                want += np.log10(p) - share(expected)
+                hits += 1
+        assert got[k] == pytest.approx(want), k
+    assert hits > 200
+
+
+def test_the_words_before_change_a_words_cost(spark):
+    rng = np.random.default_rng(4)
+    passage = list(rng.choice([f"word{k}" for k in range(300)], 200))
+    shuffled = list(rng.permutation(passage))
+    held = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = [(k, " ".join([*rng.choice(passage, 50), *passage])) for k in range(60)] + [(held[0], " ".join(passage)), (held[1], " ".join(shuffled))]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same, other = got[held[0]], got[held[1]]
+    assert same.base_score == pytest.approx(other.base_score) and same.score > other.score + 100
+
+
 def test_encoder_equals_the_library_on_odd_words():
     with open(pfor._default_tokenizer(), encoding="utf-8") as f:
         encode = pfor.Encoder(f.read())
