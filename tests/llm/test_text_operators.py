@@ -491,7 +491,14 @@ def test_scores_against_brute_force(spark, monkeypatch):
         for key, _, tokens in _passages_of(w, model.lexicon):
             if not held[k]:
                 seen.setdefault(key, Counter())[tokens] += 1
-    code = lambda tokens: b"".join(model.lexicon.numbers[w].to_bytes(2, "little") if w in model.lexicon.numbers else b"\xff\xff" + b"".join((xxhash.xxh64_intdigest(w) >> 15 * k & 0x7FFF).to_bytes(2, "little") for k in range(3)) for w in tokens)
+    codes = {}
+    for w in words.values():
+        p = lm.passages([b" ".join(w[:-1])], model.lexicon, lm.Numbers(model.lexicon.numbers))
+        mine = _passages_of(w, model.lexicon)
+        assert [(k, i, len(t)) for k, i, t in mine] == list(zip(p.keys.view(np.uint64).tolist(), p.start.tolist(), p.size.tolist(), strict=True))
+        for (_, _, tokens), c in zip(mine, p.codes.tolist(), strict=True):
+            assert codes.setdefault(tokens, c) == c
+    assert len(set(codes.values())) == len(codes)
     share = lambda w: model.lexicon.share[model.lexicon.numbers[w]] if w in model.lexicon.numbers else model.lexicon.others + model.speller.cost([w])[0]
     hits = 0
     for k, w in words.items():
@@ -499,23 +506,19 @@ def test_scores_against_brute_force(spark, monkeypatch):
         for key, _, tokens in _passages_of(w, model.lexicon):
             if key not in seen:
                 continue
-            top = max(seen[key], key=lambda t: (seen[key][t], code(t)))
+            top = max(seen[key], key=lambda t: (seen[key][t], codes[t]))
             n, total = seen[key][top] - (not held[k] and top == tokens), sum(seen[key].values()) - (not held[k])
             if n <= 0 or total <= 0:
                 continue
-            for step, expected in enumerate(top[: len(tokens)]):
-                number = model.lexicon.numbers.get(expected, lm.RARE)
-                kind = 6 if number == lm.RARE else sum(number >= x for x in (1, 64, 1024, 8192, 32768))
-                pure = (n / total >= 0.5) + (n / total >= 0.75) + (n == total)
-                cell = min(step, 31) | min(int(np.log2(n)), 7) << 5 | pure << 8 | kind << 10 | (number * 2654435761 >> 7 & 4095) << 13
-                p = model.matcher.probability(np.array([cell]))[0]
-                if tokens[step] != expected:
-                    want += np.log10(1 - p)
-                    break
-                want += np.log10(p) - share(expected)
-                hits += 1
-        assert got[k] == pytest.approx(want), k
-    assert hits > 200
+            number = model.lexicon.numbers.get(top[0], lm.RARE)
+            kind = 6 if number == lm.RARE else sum(number >= x for x in (1, 64, 1024, 8192, 32768))
+            pure = (n / total >= 0.5) + (n / total >= 0.75) + (n == total)
+            cell = len(top) << 20 | kind << 17 | (number * 2654435761 >> 7 & 4095) << 5 | min(int(np.log2(n)), 7) << 2 | pure
+            p = model.matcher.probability(np.array([cell]))[0]
+            want += np.log10(p) - sum(map(share, tokens)) if tokens == top else np.log10(1 - p)
+            hits += tokens == top
+        assert got[k] == pytest.approx(want, rel=1e-5), k
+    assert hits > 50
 
 
 def test_the_words_before_change_a_words_cost(spark):
