@@ -8,7 +8,7 @@ learning documents. The nearest centroid by cosine names the language, and a tex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ FOLDS, HELD_OUT = 4, 2
 #: Documents of each language that its centroids are fitted on at most, those with the smallest hashes.
 SAMPLE = 400
 CENTROIDS = 4
-#: More distinct values of lang than this are refused: a model row is 100 kB.
-MOST_LANGUAGES = 2000
+#: Languages whose thresholds are broadcast; those of more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Centroids that a worker holds at once (25 kB each); a text is compared with one block of them after the other.
+BLOCK = 4000
 DIMS = 256 + 2048 + 4096
 #: Texts whose vectors a worker holds at once.
 ROWS = 256
@@ -33,14 +35,14 @@ _ASCII_LETTER = re.compile(b"[A-Za-z]")
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode()))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "ignore")))
 
 
 def counts_of(texts: list[bytes]) -> np.ndarray:
     """n-gram counts, (texts, DIMS) of float32."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for k, text in enumerate(texts):
-        words = text.decode().lower().encode().translate(_BLANK).split()
+        words = text.decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
         if not words:
             continue
         a = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
@@ -85,9 +87,14 @@ class Model:
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
         self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least
 
+    def blocks(self) -> list[Model]:
+        """The model in parts of at most BLOCK centroids, one without any if there are none."""
+        cuts = range(0, max(1, len(self.langs)), BLOCK)
+        return [Model(self.idf, self.langs[a : a + BLOCK], self.centroids[a : a + BLOCK], self.least[a : a + BLOCK]) for a in cuts]
+
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, cosine, rejected) of each text."""
-        langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        """(language, cosine, rejected) of each text; `und` without a letter or a language to learn, with cosine -1."""
+        langs, score, rejected = ["und"] * len(texts), np.full(len(texts), -1.0), np.ones(len(texts), bool)
         if not self.langs:
             return langs, score, rejected
         for at in range(0, len(texts), ROWS):
@@ -105,7 +112,8 @@ class Model:
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Learns from rows with a text and a language outside the held-out fold. Document frequencies cover all of them."""
+    """Learns from rows with a text and a language outside the held-out fold. Document frequencies cover all of them; the centroids of a language are fitted
+    on `sample` of its distinct pairs of id and text, those with the smallest hashes, however often they come."""
     spark = docs.sparkSession
     learn = docs.filter("lang is not null and text is not null").filter(fold("doc_id", folds) != held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -124,16 +132,15 @@ def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: i
         df[r.gram] = r.n
     idf = (np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1).astype(np.float32)
 
-    held = learn.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(held) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} distinct languages")
-    if not held:
-        return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0))
-    share = spark.createDataFrame([(r.lang, min(1.0, 2.0 * sample / r.n)) for r in held], "lang string, share double")
-    order = F.xxhash64(F.lit(11), "doc_id", "text")
-    drawn = learn.join(F.broadcast(share), "lang").withColumn("order", order)  # MOST_LANGUAGES rows at most
-    drawn = drawn.filter(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= sample)
+    # the draw sorts hashes alone; texts follow once it is made. Equal rows are one within a task already, and a task hands on `sample` of a language at most
+    hashed = learn.withColumn("order", F.xxhash64(F.lit(11), "doc_id", "text"))
+    drawn = hashed.groupBy("lang", "order").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample)
+    last = drawn.groupBy("lang").agg(F.max("order").alias("last"), F.max("rank").alias("rank"))
+    few = last.limit(MOST_BROADCAST + 1).collect()
+    if len(few) <= MOST_BROADCAST:
+        last = F.broadcast(spark.createDataFrame(few, "lang string, last long, rank int"))  # a hash for each language
+    near = hashed.join(last.select("lang", "last"), "lang").filter(F.col("order") <= F.col("last")).dropDuplicates(["lang", "order"])
+    drawn = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
     given = spark.sparkContext.broadcast(idf)
 
     def cluster(t: pa.Table) -> pa.Table:
@@ -150,20 +157,33 @@ def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: i
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (cosine), rejected for each row of docs.
+    """doc_id, held_out, lang_pred, score (cosine, 0 to 1), rejected for each row of docs.
 
     Null texts and texts without a letter are `und` with score 0 (rejected), as are all if nothing could be learned; equal cosines go to the smaller
     language; repeated rows each give a row; rows without id fall in fold 0; other columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    context = docs.sparkSession.sparkContext
+    kinds = "doc_id long, held_out boolean, text string, lang_pred string, score double, rejected boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                langs, score, rejected = model.value.predict(part.column("text").cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+    def compared(block: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        model = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    langs, score, rejected = model.value.predict(part.column("text").cast(pa.binary()).to_pylist())
+                    before = np.asarray(part.column("score"))
+                    better = score > before
+                    langs = [a if x else b for a, b, x in zip(langs, part.column("lang_pred").to_pylist(), better.tolist(), strict=True)]
+                    rejected = np.where(better, rejected, part.column("rejected").to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "text")), pa.array(langs, pa.string()), pa.array(np.where(better, score, before)), pa.array(rejected)], ["doc_id", "held_out", "text", "lang_pred", "score", "rejected"])
+
+        return run
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    out = slim.withColumns({"lang_pred": F.lit("und"), "score": F.lit(-1.0), "rejected": F.lit(True)})
+    for block in fit(docs).blocks():
+        out = out.mapInArrow(compared(block), kinds)
+    return out.select("doc_id", "held_out", "lang_pred", F.greatest("score", F.lit(0.0)).alias("score"), "rejected")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

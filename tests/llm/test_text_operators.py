@@ -425,6 +425,37 @@ def test_languages(spark, documents, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_one_repeated_text_is_learned(spark):
+    rows = [(1, "der eine satz kommt immer wieder vor", "de")] * 400 + [(k, f"the number {k} is written in words here and there", "en") for k in range(2, 200)]
+    frame = lambda r, n: spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)
+    one, two = langid.fit(frame(rows, 1)), langid.fit(frame(rows[::-1], 7))
+    assert set(one.langs) == {"de", "en"} and one.langs == two.langs and np.allclose(one.centroids, two.centroids)
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    """Dictionaries of n-grams instead of vectors, and blocks of three centroids."""
+    rng = np.random.default_rng(8)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "xyzéa"}
+    rows = [(k, " ".join("".join(rng.choice(list(alphabets[la]), 5)) for _ in range(12)), la) for k in range(90) for la in [sorted(alphabets)[k % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for k, text, _ in rows:
+        grams: Counter = Counter()
+        data = b" " + text.encode() + b" "
+        for i in range(len(data)):
+            grams[data[i]] += 1
+            if i + 1 < len(data):
+                grams[256 + ((data[i] << 8 | data[i + 1]) * 2654435761 % 2**32 >> 21)] += 1
+            if i + 2 < len(data):
+                grams[2304 + ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2246822519 % 2**32 >> 20)] += 1
+        v = {g: np.sqrt(n) * float(model.idf[g]) for g, n in grams.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        sims = [sum(x * float(c[g]) for g, x in v.items()) / norm for c in model.centroids]
+        assert got[k].score == pytest.approx(max(sims), abs=1e-5) and got[k].lang_pred == model.langs[int(np.argmax(sims))]
+
+
 # ---------------------------------------------------------------- 10
 
 
