@@ -89,6 +89,12 @@ def name_hash(name: str | Column) -> Column:
     return F.sha2(F.col(name) if isinstance(name, str) else name, 256)
 
 
+def by_hash(metrics: DataFrame, hashes: DataFrame, column: str = "hash") -> DataFrame:
+    """(hash, name, tags) of the metrics with one of the hashes: a join by the surrogate key, each hash looked up once."""
+    wanted = hashes.select(F.col(column).alias("hash")).distinct()
+    return metrics.select(name_hash("name").alias("hash"), "name", "tags").join(wanted, "hash", "left_semi")
+
+
 def iterate(metrics: DataFrame, each: Callable[[str], bool]) -> bool:
     """Calls each(name) until it returns False; whether it never did. Rows stream to the driver a partition at a time."""
     rows: Iterator = metrics.select("name").toLocalIterator()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbin.functions import tags as T
+from quillbin.functions import values as V
 from quillbin.functions.buckets import low_of, mid_of
 from quillbin.operators import histogram as H
 from quillbin.operators import index as I
 from quillbin.plans.selector import parse
-from quillbin.sources.store import Store, merged_scan
+from quillbin.sources.store import Store, merged_scan, metric_lines
 from quillbin.streaming import ingest
 
 # ---------------------------------------------------------------- inputs
@@ -58,30 +60,46 @@ def _account_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.observe(c, ["name"])
 
 
-def _store(spark: SparkSession, rules: tuple = ()) -> Store:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillbin-store-")
-    root = f"{base}/store-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillbin-store-")
+    root = f"{base}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return Store(spark, root, rules)
+    return root
+
+
+def _store(spark: SparkSession, rules: tuple = ()) -> Store:
+    return Store(spark, _folder(spark, "store"), rules)
 
 
-#: The days that are flushed as segments of their own, oldest first, with ts = day of the month and dur = 1.
-DAYS = 5
+#: The stores that this session has filled, by table folder and whether they are compacted: the queries below scan, they do not fill again.
+_STORES: dict[tuple, Store] = {}
 
 
 def _filled(spark: SparkSession, sf_dir: str, compact: bool = False) -> Store:
-    store, events = _store(spark), event_metrics(spark, sf_dir)
-    for day in range(1, DAYS + 1):
-        store.flush(events.filter(F.col("day") == f"2024-01-{day:02d}"), day, 1)
-        if compact:
-            store.compact()
-    return store
+    """Every day of the events as a flush of its own, oldest first, with ts = day of the year and dur = 1."""
+    known = (spark.sparkContext.applicationId, sf_dir, compact)
+    if known not in _STORES:
+        store, events = _store(spark), event_metrics(spark, sf_dir)
+        first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+        day = F.col("ts").cast("timestamp")
+        for k in range((last - first).days + 1 if first else 0):
+            begin = F.date_add(F.lit(first), k)
+            store.flush(events.filter((day >= begin.cast("timestamp")) & (day < F.date_add(begin, 1).cast("timestamp"))), first.timetuple().tm_yday + k, 1)
+            if compact:
+                store.compact()
+        _STORES[known] = store
+    return _STORES[known]
 
 
 # ---------------------------------------------------------------- SQL
 
-_EVENTS = "ev AS (SELECT 'event_type=' || event_type || ',user=' || CAST(user_id % 10 AS VARCHAR) AS name, event_type, CAST(user_id % 10 AS VARCHAR) AS u, CAST(value AS FLOAT) AS value, strftime(ts, '%Y-%m-%d') AS day, day(ts) AS dom FROM events)"
+_EVENTS = "ev AS (SELECT 'event_type=' || event_type || ',user=' || CAST(user_id % 10 AS VARCHAR) AS name, event_type, CAST(user_id % 10 AS VARCHAR) AS u, CAST(value AS FLOAT) AS value, strftime(ts, '%Y-%m-%d') AS day, dayofyear(ts) AS dom FROM events)"
 
 
 def _sql_bucket(v: str) -> str:
@@ -299,10 +317,10 @@ def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.count_histograms(_event_hist(spark, sf_dir), ["name"])
 
 
-@_register("hist_embeddings", f"WITH v AS (SELECT label, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings) SELECT label, {_sql_bucket('v')} AS bucket, count(*) AS cnt FROM v WHERE v <> 0 GROUP BY ALL")
+@_register("hist_embeddings", f"WITH v AS (SELECT label, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings) SELECT label, CASE WHEN v = 0 THEN CASE WHEN signbit(v) THEN 32767 ELSE 32768 END ELSE {_sql_bucket('v')} END AS bucket, count(*) AS cnt FROM v GROUP BY ALL")
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<float>")).alias("value"))
-    return H.observe(e.filter("value <> 0"), ["label"])
+    return H.observe(e, ["label"])
 
 
 # ---------------------------------------------------------------- index
@@ -358,7 +376,9 @@ def _filter_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.where_not_value(I.where_value(I.dimension(event_metrics(spark, sf_dir)), "event_type", longer), "user", lambda v: v.cast("int") >= 5).select("name")
 
 
-_NORMAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{T.name_of(m)}', {len(T.tag_set(m))})" for m in MULTI) + ") AS t(metric, name, tags)"
+# worked out by hand: distinct tags, sorted by bytes, and their number
+_NORMAL_SQL = r"""SELECT * FROM (VALUES ('foo=bar,foo=baz', 'foo=bar,foo=baz', 2), ('foo=bar', 'foo=bar', 1), ('foo=baz', 'foo=baz', 1), ('foo', 'foo', 1), ('bif=1', 'bif=1', 1),
+('=x', '=x', 1), ('foo=', 'foo', 1), ('foo=bar\,baz,bif=2', 'bif=2,foo=bar\,baz', 2), ('a=1,,b=2,', 'a=1,b=2', 2), ('foo=bar,foo=bar', 'foo=bar', 1), ('b=2,a=1', 'a=1,b=2', 2)) AS t(metric, name, tags)"""
 
 
 @_register("tag_normalise", _NORMAL_SQL)
@@ -381,17 +401,19 @@ def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- store
 
-_DAYS_SQL = f"{_EVENTS}, f AS (SELECT name, event_type, u, dom AS ts, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev WHERE day BETWEEN '2024-01-01' AND '2024-01-{DAYS:02d}' GROUP BY ALL)"
+_DAYS_SQL = f"{_EVENTS}, f AS (SELECT name, event_type, u, CAST(dom AS BIGINT) AS ts, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM ev GROUP BY ALL), b AS (SELECT min(ts) AS first, max(ts) - min(ts) + 1 AS n FROM f)"
+#: Segments of n generations that a binary counter leaves: one for each bit of n, the largest first.
+_COUNTER_SQL = "c AS (SELECT bit, sum(n & (1 << bit)) OVER (ORDER BY bit DESC) - (1 << bit) AS low, (1 << bit) AS size FROM b, range(0, 31) AS r(bit) WHERE n & (1 << bit) <> 0)"
 
 
-@_register("flush_levels", f"WITH {_DAYS_SQL} SELECT CAST(ts - 1 AS INTEGER) AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f")
+@_register("flush_levels", f"WITH {_DAYS_SQL} SELECT CAST(ts - first AS INTEGER) AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f, b")
 def _flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.unpack(_filled(spark, sf_dir).rows(), ["low", "name", "ts", "dur"])
 
 
-@_register("scan_after", f"WITH {_DAYS_SQL} SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f WHERE event_type = 'purchase' AND ts >= 3 GROUP BY name, ts")
+@_register("scan_after", f"WITH {_DAYS_SQL} SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f WHERE event_type = 'purchase' AND ts >= 12 GROUP BY name, ts")
 def _scan_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _filled(spark, sf_dir).query_histograms("event_type = purchase", after=3)
+    rows = _filled(spark, sf_dir, compact=True).query_histograms("event_type = purchase", after=12)
     return H.total(rows, ["name", "ts"])
 
 
@@ -400,21 +422,26 @@ def _scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).query_metrics("user =~ '^[12]$'")
 
 
-@_register("scan_neq_compat", f"WITH {_DAYS_SQL}, k AS (SELECT DISTINCT ts FROM f WHERE u = '3' AND event_type = 'purchase') SELECT DISTINCT name FROM f WHERE u <> '3' AND ts IN (SELECT DISTINCT ts FROM f WHERE u = '3')")
+@_register("scan_neq_compat", f"WITH {_DAYS_SQL} SELECT DISTINCT name FROM f WHERE u <> '3' AND ts IN (SELECT DISTINCT ts FROM f WHERE u = '3')")
 def _neq_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).query_metrics("user != 3", reference_compat=True)
 
 
-@_register("compact_rows", f"WITH {_DAYS_SQL} SELECT CASE WHEN ts <= 4 THEN 0 ELSE 4 END AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f")
+@_register("compact_rows", f"WITH {_DAYS_SQL}, {_COUNTER_SQL} SELECT CAST(c.low AS INTEGER) AS low, name, ts, CAST(1 AS BIGINT) AS dur, bucket, cnt FROM f, b, c WHERE ts - first >= c.low AND ts - first < c.low + c.size")
 def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flush and a compaction for each day: the segments are those of a binary counter, the rows those of the flushes."""
     return H.unpack(_filled(spark, sf_dir, compact=True).rows(), ["low", "name", "ts", "dur"])
 
 
-@_register("merge_scan_dups", f"WITH {_DAYS_SQL}, t AS (SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f WHERE ts <= 2 GROUP BY name, ts) SELECT name, ts, scan, total FROM t, (VALUES (0), (1)) AS s(scan)")
+@_register("level_names", f"WITH {_DAYS_SQL}, {_COUNTER_SQL} SELECT CAST(c.low AS BIGINT) AS low, CAST(c.low + c.size AS BIGINT) AS high, printf('%08X-%08X', CAST(c.low AS BIGINT), CAST(c.low + c.size AS BIGINT)) AS folder FROM c")
+def _level_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x.low, x.high, x.folder) for x in _filled(spark, sf_dir, compact=True).levels()], "low long, high long, folder string")
+
+
+@_register("merge_scan_dups", f"WITH {_DAYS_SQL}, t AS (SELECT name, ts, CAST(sum(cnt) AS BIGINT) AS total FROM f GROUP BY name, ts) SELECT name, ts, scan, total FROM t, (VALUES (0), (1)) AS s(scan)")
 def _merge_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scans of the same rows, merged: equal rows stay."""
-    rows = H.total(_filled(spark, sf_dir).query_histograms("{event_type|}").filter("ts <= 2"), ["name", "ts"]).withColumn("dur", F.lit(1))
+    rows = H.total(_filled(spark, sf_dir).query_histograms("{event_type|}"), ["name", "ts"]).withColumn("dur", F.lit(1))
     return merged_scan(rows, rows).select("name", "ts", "scan", "total")
 
 
@@ -425,6 +452,22 @@ def _reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.total(again.query_histograms("{user|}"), ["ts"])
 
 
+@_register("scan_until", f"WITH {_DAYS_SQL} SELECT name, ts FROM (SELECT DISTINCT name, ts FROM f WHERE event_type = 'purchase' AND ts >= 3) ORDER BY name, ts LIMIT 7")
+def _scan_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan in order whose callback has had enough after seven rows."""
+    seen: list[tuple[str, int]] = []
+    _filled(spark, sf_dir).for_each("event_type = purchase", 3, lambda name, ts, dur, hist: seen.append((name, ts)) or len(seen) < 7)
+    return spark.createDataFrame(seen, "name string, ts long")
+
+
+@_register("line_files", f"WITH {_EVENTS} SELECT DISTINCT name FROM ev")
+def _line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric texts through gzipped line files."""
+    path = _folder(spark, "lines")
+    event_metrics(spark, sf_dir).select("metric").distinct().write.option("compression", "gzip").text(path)
+    return I.dimension(metric_lines(spark, path)).select("name")
+
+
 @_register("stream_flush", f"WITH {_EVENTS} SELECT name, count(*) AS total FROM ev GROUP BY name")
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, flushed by micro-batches into a store."""
@@ -443,6 +486,90 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "bucket", "cnt")
 
 
+@_register("stream_late", f"WITH {_EVENTS}, t AS (SELECT *, CAST(day AS DATE) AS d, (SELECT min(CAST(day AS DATE)) FROM ev) AS d0, (SELECT max(CAST(day AS DATE)) FROM ev) AS d1 FROM ev) SELECT event_type, day, {_sql_bucket('value')} AS bucket, count(*) AS cnt FROM t WHERE d < d1 - 1 AND NOT (d = d0 AND u = '0') GROUP BY ALL")
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three micro-batches, the last one of rows of the first day that come a month late: the watermark has passed them, and they are not counted.
+    A day is final once the watermark, a day behind the latest event, has passed its end."""
+    e = _table(spark, sf_dir, "events").select("event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("at"))
+    first, last = e.agg(F.min(F.to_date("at")), F.max(F.to_date("at"))).first()
+    path = _folder(spark, "late")
+    late = (F.to_date("at") == F.lit(first)) & (F.col("user_id") % 10 == 0)
+    early = F.to_date("at") <= F.date_add(F.lit(first), (last - first).days // 2)
+    for part in (~late & early, ~late & ~early, late):
+        e.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = ingest.windowed(stream, "at", "1 day", "1 day", ["event_type"])
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "bucket", "cnt")
+
+
+# ---------------------------------------------------------------- values
+
+_TEXTS_SQL = "x AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN '-' || CAST(o_orderkey AS VARCHAR) WHEN 2 THEN CAST(o_orderkey AS VARCHAR) || 'x' WHEN 3 THEN '184467440737095516' || CAST(o_orderkey % 100 AS VARCHAR) WHEN 4 THEN '-92233720368547758' || CAST(o_orderkey % 100 AS VARCHAR) WHEN 5 THEN '00092233720368547758' || CAST(o_orderkey % 100 AS VARCHAR) ELSE '+' || CAST(o_orderkey AS VARCHAR) END AS text FROM orders)"
+
+
+@_register("val_parse", f"WITH {_TEXTS_SQL} SELECT o_orderkey, coalesce(CASE WHEN regexp_full_match(text, '[0-9]+') THEN CAST(TRY_CAST(text AS UBIGINT) AS VARCHAR) END, 'none') AS unsigned, coalesce(CASE WHEN regexp_full_match(text, '-?[0-9]+') THEN CAST(TRY_CAST(text AS BIGINT) AS VARCHAR) END, 'none') AS signed FROM x")
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers at and beyond the edges of 64 bits, with signs, zeros in front, and other characters."""
+    key, end = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 100).cast("string")
+    kinds = [key, F.concat(F.lit("-"), key), F.concat(key, F.lit("x")), F.concat(F.lit("184467440737095516"), end), F.concat(F.lit("-92233720368547758"), end), F.concat(F.lit("00092233720368547758"), end), F.concat(F.lit("+"), key)]
+    text = F.array(*kinds)[(F.col("o_orderkey") % 7).cast("int")]
+    return _table(spark, sf_dir, "orders").select("o_orderkey", *(F.coalesce(f(text).cast("string"), F.lit("none")).alias(c) for c, f in (("unsigned", V.parse_uint), ("signed", V.parse_int))))
+
+
+def _values_sql() -> str:
+    number = "CASE {0}.kind WHEN 'int' THEN {0}.i WHEN 'bool' THEN CAST({0}.b AS BIGINT) ELSE 0 END"
+    # the bits of a small whole number, read as a float, are that many of the smallest floats
+    real = "CASE WHEN {0}.kind = 'float' THEN {0}.f ELSE CAST(CASE {0}.kind WHEN 'int' THEN {0}.i WHEN 'bool' THEN CAST({0}.b AS BIGINT) WHEN 'str' THEN strlen({0}.s) ELSE 0 END AS DOUBLE) * CAST('5e-324' AS DOUBLE) END"
+    text = "CASE WHEN {0}.kind = 'str' THEN {0}.s ELSE '' END"
+    tests = ", ".join(f"CASE coalesce(x.kind, '') WHEN 'int' THEN {number.format('x')} {op} {number.format('y')} WHEN 'float' THEN {real.format('x')} {op} {real.format('y')} ELSE {text.format('x')} {op} {text.format('y')} END AS {name}" for name, op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")))
+    v = "v AS (SELECT c_custkey, id, kind, CAST(c_nationkey AS BIGINT) AS i, c_acctbal > 0 AS b, CAST(c_nationkey % 7 AS DOUBLE) / 2 - 1 AS f, c_mktsegment AS s FROM customer, (VALUES (0, 'int'), (1, 'bool'), (2, 'float'), (3, 'str'), (4, NULL)) AS k(id, kind))"
+    return f"WITH {v} SELECT x.c_custkey, x.id AS x, y.id AS y, {tests} FROM v x JOIN v y ON x.c_custkey = y.c_custkey"
+
+
+@_register("val_compare", _values_sql())
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five values of each customer, one of each type, compared with each other: the left one's type decides."""
+    c = _table(spark, sf_dir, "customer")
+    values = [V.int_value(F.col("c_nationkey")), V.bool_value(F.col("c_acctbal") > 0), V.float_value((F.col("c_nationkey") % 7).cast("double") / 2 - 1), V.str_value(F.col("c_mktsegment"))]
+    held = c.select("c_custkey", F.array(*(v.cast(V.DYNAMIC) for v in values), F.lit(None).cast(V.DYNAMIC)).alias("v"))
+    pairs = held.select("c_custkey", "v", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("x")).select("c_custkey", "v", "x", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("y"))
+    of = lambda c: F.element_at("v", F.col(c) + 1)
+    return pairs.select("c_custkey", "x", "y", *(V.compare(op, of("x"), of("y")).alias(name) for name, op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="))))
+
+
+@_register("hex_digits", "SELECT c_custkey, printf('%02X', c_custkey % 256) AS two, printf('%04X', c_custkey * 31 % 65536) AS four, printf('%08X', CAST(c_custkey AS BIGINT) * 2654435761 % 4294967296) AS eight, CAST(c_custkey AS BIGINT) * 2654435761 % 4294967296 AS back FROM customer")
+def _hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as 2, 4 and 8 hexadecimal digits, and the last one read again, from lower case."""
+    key = F.col("c_custkey").cast("long")
+    eight = V.put_hex(key * 2654435761, 8)
+    return _table(spark, sf_dir, "customer").select("c_custkey", V.put_hex(key, 2).alias("two"), V.put_hex(key * 31, 4).alias("four"), eight.alias("eight"), V.get_hex(F.lower(eight)).alias("back"))
+
+
+@_register("idx_hash_lookup", f"WITH {_EVENTS}, m AS (SELECT DISTINCT name, event_type FROM ev) SELECT sha256(name) AS hash, name FROM m WHERE event_type <> 'click'")
+def _by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From names to surrogate hashes and back, for the metrics of a selection."""
+    m = I.dimension(event_metrics(spark, sf_dir))
+    return I.by_hash(m, I.select(m, "event_type != click").select(I.name_hash("name").alias("hash"))).select("hash", "name")
+
+
+@_register("hist_reset", f"WITH {_sql_hist()} SELECT name, bucket, cnt FROM h")
+def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reset histograms are empty: merged with others, they change nothing."""
+    h = _event_hist(spark, sf_dir)
+    return H.merge(H.reset(h), h, keys=["name"])
+
+
+@_register("idx_iterate", f"WITH {_EVENTS} SELECT count(DISTINCT name) AS all_names, CAST(5 AS BIGINT) AS until_five FROM ev")
+def _iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of the index, one after another; and a second walk that stops after five."""
+    m, every, some = I.dimension(event_metrics(spark, sf_dir)), [], []
+    I.iterate(m, lambda name: every.append(name) or True)
+    I.iterate(m, lambda name: some.append(name) or len(some) < 5)
+    return spark.createDataFrame([(len(set(every)), len(some))], "all_names long, until_five long")
+
+
 # ---------------------------------------------------------------- flagship
 
 _FLAGSHIP = "event_type =* pur & user != 3"
@@ -454,10 +581,9 @@ def flagship_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By day: total, average and 95th percentile of a selection of metrics, merged. The metrics are parsed and selected once each."""
+    """By day: total, average and 95th percentile of a selection of metrics, merged. The events are read and counted once; the selection is made on counts."""
     counts = H.observe(event_metrics(spark, sf_dir), ["metric", "day"])
-    chosen = counts.select("metric").distinct().filter(parse(_FLAGSHIP).column(T.parse_tags("metric")))
-    by_day = H.merge(counts.join(chosen, "metric", "left_semi"), keys=["day"])
+    by_day = H.merge(counts.filter(parse(_FLAGSHIP).column(T.parse_tags("metric"))), keys=["day"])
     return H.describe(by_day, ["day"], {"p95": 0.95}).select("day", "total", F.round("avg", 6).alias("avg"), "p95")
 
 

@@ -2,20 +2,26 @@
 
 A segment covers a range of generations [low, high) and holds a row (name, tags, ts, dur, hist) for each metric and flush, sorted by name and time.
 Tags and histogram lie in columns of their own, so one table is index and data at once: listing metrics reads no histogram, and a selection
-is a filter on the rows' own tags. Readers see the segments of the newest manifest only; a manifest is written beside the others and then renamed.
+is a filter on the rows' own tags. Readers see the segments of the newest manifest only. A manifest's file is created exclusively, so of two writers one
+fails; it knows each segment's range of ts, and scans skip the segments before theirs. Compaction leaves replaced segments where they are, for readers
+that have begun, until vacuum deletes them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbin.functions.tags import TAGS_TYPE, Rule
+from quillbin.functions.values import get_hex
 from quillbin.operators import histogram, index
 from quillbin.plans.selector import Selector, parse
 
@@ -73,28 +79,63 @@ class Store:
 
     # ------------------------------------------------------------ manifest
 
-    def _manifest(self) -> tuple[int, dict]:
+    def _versions(self) -> list[str]:
         found = self._fs.listStatus(self._path(f"{self.root}/manifest"))
-        names = sorted(f.getPath().getName() for f in found if f.getPath().getName().startswith("v"))
-        if not names:
-            return 0, {"levels": [], "batches": []}
-        stream = self._fs.open(self._path(f"{self.root}/manifest/{names[-1]}"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return int(names[-1][1:]), json.loads(text)
+        return sorted(f.getPath().getName() for f in found if f.getPath().getName().startswith("v"))
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The newest manifest; one that is still being written is passed over."""
+        names = self._versions()
+        for name in reversed(names):
+            stream = self._fs.open(self._path(f"{self.root}/manifest/{name}"))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith("}"):
+                return int(name[1:]), json.loads(text)
+        return 0, {"levels": [], "batches": [], "streams": {}}
 
     def _publish(self, version: int, content: dict) -> None:
-        """Writes the next manifest; an error if another writer has been faster."""
-        draft = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(content).encode()))
-        stream.close()
+        """Creates the next manifest; an error if another writer has been faster."""
         target = self._path(f"{self.root}/manifest/v{version + 1:012d}")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            raise RuntimeError("the store has changed meanwhile")
+        text, taken = bytearray(json.dumps(content).encode()), RuntimeError("the store has changed meanwhile")
+        if self._fs.getUri().getScheme() == "file":
+            # a link appears whole or, where the name exists, not at all
+            draft = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
+            self._write_bytes(draft, text)
+            try:
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                raise taken from None
+            finally:
+                self._fs.delete(draft, False)
+            return
+        try:
+            self._write_bytes(target, text)
+        except Py4JJavaError:
+            raise taken from None
+
+    def _write_bytes(self, path, data: bytearray) -> None:
+        stream = self._fs.create(path, False)  # never over an existing file
+        stream.write(data)
+        stream.close()
+
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Deletes segments and manifests that the newest manifest has replaced and that are older than so many seconds; how many. A scan that began
+        before must have ended."""
+        now, (version, content) = time.time(), self._manifest()
+        held, gone = {x["folder"] for x in content["levels"]}, 0
+        old = lambda f: f.getModificationTime() / 1000 <= now - older_than
+        data = self._path(f"{self.root}/data")
+        for f in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            if f.getPath().getName() not in held and old(f):
+                gone += bool(self._fs.delete(f.getPath(), True))
+        for f in self._fs.listStatus(self._path(f"{self.root}/manifest")):
+            name = f.getPath().getName()
+            if name.startswith("v") and int(name[1:]) < version and old(f):
+                gone += bool(self._fs.delete(f.getPath(), False))
+        return gone
 
     def levels(self) -> list[Level]:
         return check_levels(Level.of_folder(x["folder"].split(".")[0]) for x in self._manifest()[1]["levels"])
@@ -108,24 +149,31 @@ class Store:
     def flush(self, observations: DataFrame, ts: int, dur: int, metric: str = "metric", value: str = "value", batch: str | None = None) -> Level | None:
         """Counts observations and writes them as a new segment labelled (ts, dur). Metrics that cannot be stored are left out.
 
-        batch: a name under which this flush takes place once; a second time nothing is written (None)."""
+        batch: a name under which this flush takes place once; a second time nothing is written (None). Of names that end in / and a number, the numbers
+        ascend, and only the last one is kept."""
         version, content = self._manifest()
-        if batch is not None and batch in content["batches"]:
+        stream, _, number = (batch or "").rpartition("/")
+        if batch is not None and (batch in content["batches"] or number.isdigit() and content["streams"].get(stream, -1) >= int(number)):
             return None
         counts = histogram.pack(histogram.observe(observations, [metric], value), [metric])
         named = index.normalise(counts, metric, self.rules).select("name", "tags", "hist")
+        each = named.groupBy("name").agg(F.first("tags").alias("tags"), F.collect_list("hist").alias("parts"))
+        once = each.filter(F.size("parts") == 1).select("name", "tags", F.col("parts")[0].alias("hist"))
         # texts that name the same metric are added up
-        keep = named.groupBy("name").agg(F.first("tags").alias("tags"), F.flatten(F.collect_list("hist")).alias("parts"))
-        added = F.transform(F.array_sort(F.array_distinct(F.col("parts")["bucket"])), lambda b: F.struct(b.alias("bucket"), F.aggregate(F.filter("parts", lambda p: p["bucket"] == b), F.lit(0).cast("long"), lambda s, p: s + p["cnt"]).alias("cnt")))
-        once = F.size(F.array_distinct(F.col("parts")["bucket"])) == F.size("parts")
-        rows = keep.select("name", "tags", F.lit(ts).cast("long").alias("ts"), F.lit(dur).cast("long").alias("dur"), F.when(once, F.col("parts")).otherwise(added).alias("hist"))
+        more = each.filter(F.size("parts") > 1)
+        added = histogram.pack(histogram.merge(more.select("name", F.inline(F.flatten("parts"))), keys=["name"]), ["name"])
+        rows = once.unionByName(added.join(more.select("name", "tags"), "name").select("name", "tags", "hist"))
+        rows = rows.select("name", "tags", F.lit(ts).cast("long").alias("ts"), F.lit(dur).cast("long").alias("dur"), "hist")
         high = max((x["high"] for x in content["levels"]), default=0)
         level = Level(high, high + 1)
         folder = f"{level.folder}.{uuid.uuid4().hex[:8]}"
         self._write(rows, folder)
-        content["levels"].append({"folder": folder, "low": level.low, "high": level.high})
+        content["levels"].append({"folder": folder, "low": level.low, "high": level.high, "first": ts, "last": ts})
         if batch is not None:
-            content["batches"] = [*content["batches"][-999:], batch]
+            if number.isdigit():
+                content["streams"][stream] = int(number)
+            else:
+                content["batches"].append(batch)
         self._publish(version, content)
         return level
 
@@ -140,10 +188,9 @@ class Store:
         level = Level(suffix[0].low, suffix[-1].high)
         folder = f"{level.folder}.{uuid.uuid4().hex[:8]}"
         self._write(self._read(old).drop("low"), folder)
-        content["levels"] = known[: len(known) - len(suffix)] + [{"folder": folder, "low": level.low, "high": level.high}]
+        whole = {"folder": folder, "low": level.low, "high": level.high, "first": min(x["first"] for x in old), "last": max(x["last"] for x in old)}
+        content["levels"] = known[: len(known) - len(suffix)] + [whole]
         self._publish(version, content)
-        for x in old:
-            self._fs.delete(self._path(f"{self.root}/data/{x['folder']}"), True)
         return level
 
     # ------------------------------------------------------------ reading
@@ -151,19 +198,18 @@ class Store:
     def _read(self, levels: list[dict]) -> DataFrame:
         if not levels:
             return self.spark.createDataFrame([], SCHEMA).withColumn("low", F.lit(0))
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.root}/data/{x['folder']}").withColumn("low", F.lit(x["low"])) for x in levels]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        read = self.spark.read.schema(SCHEMA).parquet(*(f"{self.root}/data/{x['folder']}" for x in levels))
+        folder = F.regexp_extract("_metadata.file_path", r"/data/([0-9A-F]{8})-[0-9A-F]{8}\.[0-9a-f]{8}/[^/]*$", 1)
+        return read.withColumn("low", get_hex(folder).cast("int"))
 
-    def rows(self) -> DataFrame:
-        """All rows (name, tags, ts, dur, hist, low) of the newest manifest's segments."""
-        return self._read(self._manifest()[1]["levels"])
+    def rows(self, after: int | None = None) -> DataFrame:
+        """All rows (name, tags, ts, dur, hist, low) of the newest manifest's segments; of those that reach `after`, if it is given."""
+        levels = self._manifest()[1]["levels"]
+        return self._read([x for x in levels if after is None or x["last"] >= after])
 
-    def _selected(self, selector: str | Selector, reference_compat: bool) -> DataFrame:
+    def _selected(self, selector: str | Selector, reference_compat: bool, after: int | None = None) -> DataFrame:
         chosen = parse(selector) if isinstance(selector, str) else selector
-        rows = self.rows()
+        rows = self.rows(after)
         if not reference_compat or not chosen.unequal_tags():
             return rows.filter(chosen.column())
         # the compatible `!=` finds nothing in a segment that does not know the tag
@@ -178,8 +224,8 @@ class Store:
         return self._selected(selector, reference_compat).select("name").distinct()
 
     def query_data(self, selector: str | Selector, after: int = 0, reference_compat: bool = False) -> DataFrame:
-        """Rows (name, ts, dur, hist, low) of the metrics selected with ts >= after, by name and time; ties by segment."""
-        return self._selected(selector, reference_compat).filter(F.col("ts") >= after).select("name", "ts", "dur", "hist", "low")
+        """Rows (name, ts, dur, hist, low) of the metrics selected with ts >= after, in no order; merged_scan and for_each put them in order."""
+        return self._selected(selector, reference_compat, after).filter(F.col("ts") >= after).select("name", "ts", "dur", "hist", "low")
 
     def query_histograms(self, selector: str | Selector, after: int = 0, reference_compat: bool = False) -> DataFrame:
         """query_data in long form: (name, ts, dur, low, bucket, cnt)."""

@@ -108,3 +108,41 @@ def test_windows_over_a_stream(spark, tmp_path):
     q = ingest.windowed(stream, "at", "10 minutes", "1 minute").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.cnt for r in spark.table("w").collect()) == [10, 10]
+
+
+def test_scans_outlive_compaction_until_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for i in range(2):
+        store.flush(observations(spark, [f"a={i}"]), i + 1, 1)
+    scan = store.query_data("{a|}")
+    store.compact()
+    assert scan.count() == 2 and store.vacuum(older_than=3600) == 0 and scan.count() == 2
+    assert store.vacuum(older_than=0) == 4 and store.query_data("{a|}").count() == 2  # two segments, two manifests
+
+
+def test_segments_before_a_scan_are_not_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for i in range(3):
+        store.flush(observations(spark, [f"a={i}"]), 10 * i, 1)
+    assert len(store.query_data("{a|}", after=10).inputFiles()) < len(store.query_data("{a|}").inputFiles())
+    assert {r.ts for r in store.query_data("{a|}", after=10).collect()} == {10, 20}
+    assert store.query_data("{a|}", after=21).count() == 0
+
+
+def test_late_rows_over_several_batches_and_a_restart(spark, tmp_path):
+    at = lambda m, v: (f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", "a=1", v)
+    batches = [[at(1, 1.0), at(12, 1.0)], [at(45, 1.0)], [at(2, 1.0), at(44, 1.0)], [at(90, 1.0)]]
+    path = lambda x: str(tmp_path / x)
+    schema = "at timestamp, metric string, value float"
+
+    def more(some):
+        for b in some:
+            spark.createDataFrame(b, "at string, metric string, value float").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(path("in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path("in"))
+        out = ingest.windowed(stream, "at", "10 minutes", "5 minutes")
+        out.writeStream.outputMode("append").format("parquet").option("path", path("out")).option("checkpointLocation", path("c")).trigger(availableNow=True).start().awaitTermination()
+        return {(str(r.start)[11:16], r.cnt) for r in spark.read.parquet(path("out")).collect()}
+
+    assert more(batches[:2]) == {("00:00", 1), ("00:10", 1)}
+    # minute 2 comes after its window is final; minute 44 is in time
+    assert more(batches[2:]) == {("00:00", 1), ("00:10", 1), ("00:40", 2)}
