@@ -187,6 +187,100 @@ def test_licences(spark, odd, none):
     assert licences.licences(odd).count() == odd.count() and licences.licences(none).count() == 0
 
 
+BSD = """Copyright (c) 2020, A. Maker
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES.
+"""
+CLAUSE_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as
+ * published by the Free Software Foundation, either version {} of
+ * the License, or (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {}General Public License for more details.
+ *
+ * You should have received a copy of the GNU {}General Public License
+ * along with this program.
+"""
+ISC = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software, to deal in the Software without restriction, subject to the
+following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_and_unwrapped_licences(spark):
+    import textwrap
+    from pathlib import Path
+
+    header = lambda kind, version: HEADER.format(kind, version, kind, kind)
+    cases = {
+        "BSD-2-Clause": BSD.format(""), "BSD-3-Clause": BSD.format(CLAUSE_3), "GPL-3.0-or-later": header("", 3), "GPL-2.0-or-later": header("", 2), "AGPL-3.0-or-later": header("Affero ", 3),
+        "LGPL-or-later": header("Lesser ", "2.1"), "ISC": ISC, "MIT": MIT, "Apache-2.0": APACHE, "MPL-2.0": MPL,
+    }
+    rows = []
+    for name, text in cases.items():
+        flat = "\n\n".join(" ".join(x.strip(" *#") for x in p.split("\n")) for p in re.split(r"\n[ *#]*\n", text))
+        rows += [(name, text), (name, flat), (name, textwrap.fill(flat.replace("\n\n", " "), 43)), (name, text.replace("\n", "\r\n"))]
+    whole = Path("/usr/share/common-licenses")
+    for name, file in (("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if (whole / file).exists():
+            text = (whole / file).read_text(errors="replace")
+            rows += [(name, text), (name, "\n\n".join(" ".join(p.split()) for p in text.split("\n\n")))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.licences(docs).collect()}
+    assert {k: got[k].licences.replace("Proprietary", "").strip(",") for k in got} == {k: name for k, (name, _) in enumerate(rows)}
+
+
 # ---------------------------------------------------------------- 5
 
 
