@@ -3,7 +3,8 @@
 Unit vectors are cut in two halves, each with a codebook of its own; a cell is a pair of centroids. A query walks the pairs in the order of
 their summed distances (multi-sequence traversal with a heap) until the cells hold the share of all rows that the wanted recall needs, and the
 entries of those cells are reranked by exact cosine. That share is measured when the index is fitted, against brute force on a bounded sample.
-Cells travel in blocks of bounded size (a larger cell is split over several), and so do queries, so no task gathers a cell or a query set.
+Cells travel in blocks of bounded size (a larger cell is split over several). A block meets the queries that probe it in parts of bounded size, and is
+copied once for each part: what travels grows with the rows and the probes, and no task gathers a cell or a query set.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
 def codebook_size(n: int) -> int:
-    return int(np.clip(2 * n**0.3, 1, 128))
+    return int(np.clip(2 * n**0.3, 1, 2048))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -110,17 +111,28 @@ class Index:
         return float(min(1.0, np.quantile(needed, recall)))
 
 
+def cosine(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of each row with the vector, on the numbers as they are; scaled first only where their squares leave the range of doubles."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        c = (entries * query).sum(1) / (np.sqrt((entries * entries).sum(1)) * np.sqrt((query * query).sum()))
+    odd = ~(np.abs(c) <= 1.0000001)
+    if odd.any():
+        c[odd] = (unit(entries[odd]) * unit(query[None])).sum(1)
+    return c
+
+
 def top(queries: np.ndarray, entries: np.ndarray, allowed: np.ndarray, q_rows: np.ndarray, e_rows: np.ndarray, e_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, entry position, cosine): each query's k nearest allowed entries, never its own row; ties go to smaller ids."""
     out_q, out_e, out_s = [], [], []
+    units = unit(entries)
     for at in range(0, len(queries), 128):
-        sims = queries[at : at + 128] @ entries.T
+        sims = unit(queries[at : at + 128]) @ units.T
         sims[~allowed[at : at + 128] | (q_rows[at : at + 128, None] == e_rows[None, :])] = -2
         kk = min(k, sims.shape[1])
         least = np.partition(sims, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk]
         for r in range(len(sims)):
             near = np.flatnonzero((sims[r] >= least[r] - 1e-12) & (sims[r] > -1.5))
-            exact = (entries[near] * queries[at + r]).sum(1)
+            exact = cosine(entries[near], queries[at + r])
             best = np.lexsort((e_ids[near], -exact))[:k]
             out_q.append(np.full(len(best), at + r))
             out_e.append(near[best])
@@ -151,15 +163,15 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
     fitted = spark.sparkContext.broadcast(index)
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return unit(np.asarray(column.flatten()).reshape(len(column), dim))
+        return np.ascontiguousarray(np.asarray(column.flatten()).reshape(len(column), dim), np.float64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = matrix(batch.column("v"))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array([y.tobytes() for y in v], pa.binary()), pa.array(fitted.value.cells(v))], ["row", "vec_id", "unit", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array([y.tobytes() for y in v], pa.binary()), pa.array(fitted.value.cells(unit(v)))], ["row", "vec_id", "v", "cell"])
 
-    entries = stored(rows.mapInArrow(place, "row long, vec_id long, unit binary, cell long"), f"{path}/entries")
+    entries = stored(rows.mapInArrow(place, "row long, vec_id long, v binary, cell long"), f"{path}/entries")
     counts = np.zeros(len(index.counts), np.int64)
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row for each cell of the codebooks' size
         counts[r.cell] = r.n
@@ -178,21 +190,19 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
             first[cell], held = block, held + m
     dealt = spark.sparkContext.broadcast((first, parts))
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    n_queries = entries.filter(is_query).count()
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
     wanted = max(k + 1, int(np.ceil(index.share * n)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (start, many) = fitted.value, dealt.value
         for batch in batches:
             out: list[tuple] = []
-            for row, vec_id, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "unit")), strict=True):
+            for row, vec_id, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "v")), strict=True):
                 by_block: dict[int, list[int]] = {}
-                for cell in own.visit(np.frombuffer(raw), wanted):
+                for cell in own.visit(unit(np.frombuffer(raw)[None])[0], wanted):
                     for b in range(int(start[cell]), int(start[cell] + many[cell])):
                         by_block.setdefault(b, []).append(cell)
-                out += [(row, vec_id, raw, b, row % q_blocks, np.array(c, "<i4").tobytes()) for b, c in by_block.items()]
-            kinds = {"row": pa.int64(), "vec_id": pa.int64(), "unit": pa.binary(), "block": pa.int64(), "q": pa.int64(), "cells": pa.binary()}
+                out += [(row, vec_id, raw, b, np.array(c, "<i4").tobytes()) for b, c in by_block.items()]
+            kinds = {"row": pa.int64(), "vec_id": pa.int64(), "v": pa.binary(), "block": pa.int64(), "cells": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
 
     def place_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +210,21 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
         for batch in batches:
             cell, row = batch.column("cell").to_numpy(), batch.column("row").to_numpy()
             b = start[cell] + (row * 2654435761 >> 7) % many[cell]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "unit", "cell")), pa.array(b)], ["row", "vec_id", "unit", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v", "cell")), pa.array(b)], ["row", "vec_id", "v", "cell", "block"])
 
-    probes = entries.filter(is_query).select("row", "vec_id", "unit").repartition("row").mapInArrow(probe, "row long, vec_id long, unit binary, block long, q long, cells binary")
-    blocks = entries.mapInArrow(place_blocks, "row long, vec_id long, unit binary, cell long, block long").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    probes = entries.filter(is_query).select("row", "vec_id", "v").repartition("row").mapInArrow(probe, "row long, vec_id long, v binary, block long, cells binary")
+    probes = stored(probes, f"{path}/probes")
+    # blocks that are probed, and in how many parts their queries come; a block has thousands of rows, so this table is small, and if not it is joined
+    asked = stored(probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("parts")), f"{path}/asked")
+    probes = probes.join(asked, "block").withColumn("q", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
+    blocks = entries.mapInArrow(place_blocks, "row long, vec_id long, v binary, cell long, block long").join(asked, "block")
+    blocks = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def rerank(e: pa.Table, q: pa.Table) -> pa.Table:
         kinds = {"row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not e.num_rows or not q.num_rows:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        ev, qv = (np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(-1, dim) for t in (e, q))
+        ev, qv = (np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(-1, dim) for t in (e, q))
         cells, e_cell = np.unique(e.column("cell").to_numpy(), return_inverse=True)
         open_ = np.zeros((q.num_rows, len(cells)), bool)
         for i, raw in enumerate(q.column("cells").to_pylist()):

@@ -175,6 +175,27 @@ def test_vectors_that_take_no_part(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_many_parts_and_blocks(spark, monkeypatch):
+    """Exact cosines of what is found, at two sizes, where blocks and their queries' parts are small."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(2)
+    for n in (300, 1500):
+        centres = rng.normal(size=(12, 8))
+        v = centres[rng.integers(0, 12, n)] + 0.3 * rng.normal(size=(n, 8))
+        v[7] = v[9] * 3.0  # a scaled copy
+        got = ann.neighbours(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>"), every=5).collect()
+        hits = 0
+        for q in range(0, n, 5):
+            own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+            assert [r["rank"] for r in own] == [1, 2, 3, 4, 5] and q not in {r.vec_id for r in own}
+            cos = (v * v[q]).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((v[q] * v[q]).sum()))
+            assert all(r.score == cos[r.vec_id] for r in own) and own == sorted(own, key=lambda r: (-r.score, r.vec_id))
+            cos[q] = -2
+            hits += len({r.vec_id for r in own} & set(np.argsort(-cos, kind="stable")[:5].tolist()))
+        assert hits >= 0.9 * n
+
+
 # ---------------------------------------------------------------- 4
 
 
