@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_path, fresh, scratch, stored, sweep, table
 
 #: Fingerprints in a tile: a pair's rows are some 50 MB a side where sketches go along. Fewer rows make LEAST_TILES of at least LEAST_ROWS, for the tasks' sake.
-TILE, LEAST_TILES, LEAST_ROWS = 1 << 19, 8, 4096
+TILE, LEAST_TILES, LEAST_ROWS = 1 << 19, 4, 4096
 #: Cells of an outer product held at once.
 CELLS = 1 << 20
 #: Bits within which a pair is proposed where shingle sets decide at 0.8: of 2000 made pairs just above it none lay farther apart (at 14 bits, 53).
 WIDE = 22
 #: Parts of a text's second fingerprint: four bits of the least shingle hash in each of so many ranges of hashes.
 SKETCH = 256
+#: Tile pairs that a filter lists, and texts whose hashes are broadcast; more of them are joined.
+FEW_PAIRS, MOST_BROADCAST = 1000, 500_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -304,7 +306,7 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
     return pa.table({"pair": pa.array(np.full(len(a), pair, np.int64)), "a": pa.array(a), "b": b, "side": pa.array(which), "own": pa.array(np.full(len(a), not two))})
 
 
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE, most: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE, most: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, text_hash, fp), classes (text_hash, root)): texts joined by chains of pairs within `radius` bits whose `width`-word shingle sets
     have a Jaccard similarity of `similarity` or more.
 
@@ -336,6 +338,8 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     def joined(pairs: DataFrame, turn: int) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
         wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+        if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            wanted = F.broadcast(wanted)  # 8 bytes each; of more, the texts are shuffled to them
         sets = stored(slim.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).mapInArrow(shingle_sets, "text_hash long, shingles binary"), f"{path}/sets{turn}")
         one = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
         two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
@@ -356,11 +360,13 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         over = over.join(texts, "text_hash").join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
         over = stored(over.withColumn("root", F.coalesce("root", "text_hash")), f"{path}/over{turn}")
         apart = over.groupBy("pair").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least <> last").select("pair")
-        again = over.join(apart, "pair", "left_semi")
+        few = [r.pair for r in apart.limit(FEW_PAIRS + 1).collect()]
+        unsettled = (lambda df: df.filter(F.col("pair").isin(few))) if len(few) <= FEW_PAIRS else (lambda df: df.join(apart, "pair", "left_semi"))  # noqa: E731, B023
+        again = unsettled(over)
         turn += 1
         if again.isEmpty():
             break
-        past = tried.join(apart, "pair", "left_semi")
+        past = unsettled(tried)
         # few texts are left, so each may hand on more
         now = most * 8**turn
         compare = lambda t, old: _propose(t, old, radius, similarity, now)
