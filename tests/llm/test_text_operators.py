@@ -106,6 +106,33 @@ def test_every_exact_passage_is_covered(spark):
     assert shared and all(len({i for i, _ in m}) <= 1 for m in missed)  # the representative's further places are not listed
 
 
+def test_passages_whose_seeds_come_in_many_other_texts(spark):
+    """Of the common seeds of two texts most have another representative than either; and a closer partner hides no other one."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    docs, n, pieces = [], 30, [[] for _ in range(150)]
+    for i in range(n):
+        shared = words(64)
+        docs.append((2 * i, " ".join(words(60) + shared + words(30))))
+        docs.append((2 * i + 1, " ".join(words(30) + [f"x{i}y{k}" if k % 5 == 4 else w for k, w in enumerate(shared)] + words(60))))
+        for k in range(0, 60, 5):
+            for d in rng.choice(len(pieces), 12, replace=False).tolist():
+                pieces[d] += words(3) + shared[k : k + 4]
+    docs += [(1000 + d, " ".join(p)) for d, p in enumerate(pieces)]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {frozenset((2 * i, 2 * i + 1)) for i in range(n)} <= {frozenset((r.doc_id, r.other_doc_id)) for r in got}
+
+    docs, want = [], set()
+    for i in range(30):
+        shared = words(60)
+        change = lambda ks: [f"x{i}y{k}{rng.integers(10**9)}" if k in ks else w for k, w in enumerate(shared)]  # noqa: B023, E731
+        one, two = change({*range(5, 60, 11)}), change({*range(9, 60, 10)})  # either is near to the whole, not to the other
+        docs += [(3 * i + k, " ".join(words(20) + x + words(20))) for k, x in enumerate((shared, one, two))]
+        want |= {frozenset((3 * i, 3 * i + 1)), frozenset((3 * i, 3 * i + 2))}
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert want <= {frozenset((r.doc_id, r.other_doc_id)) for r in got}
+
+
 def test_odd_rows_have_no_passages(odd):
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == set()
 
