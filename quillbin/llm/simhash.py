@@ -13,15 +13,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbin.llm._common import LOWER, binary_list, chunks, components, drop_path, fresh, scratch, stored, sweep, table
 
 #: Fingerprints in a tile: a pair's rows are some 50 MB a side where sketches go along. Fewer rows make LEAST_TILES of at least LEAST_ROWS, for the tasks' sake.
 TILE, LEAST_TILES, LEAST_ROWS = 1 << 19, 4, 4096
-#: Cells of an outer product held at once.
-CELLS = 1 << 20
+#: As these, for tiles of texts of like sizes, where a text goes to the tiles of sizes near its own alone.
+SIZE_TILE, LEAST_SIZE_TILES = 1 << 18, 32
+#: Classes of sizes to a doubling.
+CLASSES = 64
+#: Cells of an outer product held at once; rows of one among texts of like sizes, and its cells, for the processor's cache.
+CELLS, ROWS, FEW_CELLS = 1 << 20, 128, 1 << 18
 #: Bits within which a pair is proposed where shingle sets decide at 0.8: of 2000 made pairs just above it none lay farther apart (at 14 bits, 53).
 WIDE = 22
 #: Parts of a text's second fingerprint: four bits of the least shingle hash in each of so many ranges of hashes.
@@ -177,9 +181,35 @@ def _dealt(fps: DataFrame, radius: int, tile: int) -> DataFrame:
     last = [max(0, int(at[min(65, p + radius + 1)]) - 1) // size for p in range(65)]
     of = lambda values: F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values)), (F.bit_count("fp") + 1).cast("int"))
     number = of(at[:65]) + F.pmod(F.xxhash64(*fps.columns), F.greatest(of(n), F.lit(1)))
-    own = fps.withColumn("tile", F.floor(number / F.lit(size)).cast("long")).withColumn("other", F.explode(F.sequence(of(first), of(last))))
+    return _copied(fps, fps.columns, F.floor(number / F.lit(size)), of(first), of(last), tiles)
+
+
+def _copied(rows: DataFrame, columns: list[str], tile: Column, first: Column, last: Column, tiles: int) -> DataFrame:
+    """columns of rows once for each pair of their tile with one from first to last: pair, side, own as in _dealt."""
+    own = rows.withColumn("tile", tile.cast("long")).withColumn("other", F.explode(F.sequence(first, last)))
     pair = F.least("tile", "other") * F.lit(tiles) + F.greatest("tile", "other")
-    return own.select(*fps.columns, pair.alias("pair"), (F.col("other") < F.col("tile")).cast("int").alias("side"), (F.col("other") == F.col("tile")).alias("own"))
+    return own.select(*columns, pair.alias("pair"), (F.col("other") < F.col("tile")).cast("int").alias("side"), (F.col("other") == F.col("tile")).alias("own"))
+
+
+def _dealt_by_size(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """As _dealt, of texts (text_hash, shingles and more): a tile is a range of sizes, and a text goes to those tiles alone that hold sizes with which sets
+    can be as similar as `similarity`.
+
+    Texts are numbered by classes of sizes, in order of a hash within a class, so that one very common size makes many tiles too."""
+    kind = F.floor(F.log2(F.col("shingles") + 1) * CLASSES).cast("long")
+    by_class = texts.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.min("shingles").alias("least"), F.max("shingles").alias("most"))
+    found = sorted(by_class.collect())  # 64 * CLASSES rows at most
+    n, least, most = (np.array([r[k] for r in found], np.int64) for k in ("n", "least", "most"))
+    at = np.concatenate([[0], np.cumsum(n)])
+    total = int(at[-1])
+    tiles = max(1, -(-total // tile), min(LEAST_SIZE_TILES, total // LEAST_ROWS))
+    size = max(1, -(-total // tiles))
+    first = at[np.searchsorted(most, least * similarity - 1e-6)] // size
+    last = (at[np.searchsorted(least, (most + 1e-6) / similarity, "right")] - 1) // size
+    rows = [(r["class"], *map(int, x)) for r, *x in zip(found, at, n, first, last, strict=False)]
+    of = texts.sparkSession.createDataFrame(rows, "class_ long, at_ long, n_ long, first_ long, last_ long")
+    known = texts.join(F.broadcast(of), kind == F.col("class_"))  # a row for each class
+    return _copied(known, texts.columns, F.floor((F.col("at_") + F.pmod(F.xxhash64("text_hash"), "n_")) / F.lit(size)), F.col("first_"), F.col("last_"), tiles)
 
 
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -234,36 +264,41 @@ def tile_pairs(
     sizes, or whose sketches are farther apart than such sets' are, are passed over.
     roots: where given, links between equal ones are passed over; tried: of positions on both sides, which links are not wanted again."""
     other = left if right is None else right
-    l_size, r_size = sizes[0], sizes[0] if right is None else sizes[1]
-    l_sketch, r_sketch = sketches[0], sketches[right is not None]
-    l_order, r_order = np.argsort(left, kind="stable"), np.argsort(other, kind="stable")
+    l_size, r_size = sizes[0], sizes[right is not None]
+    half = sketches[0].shape[1] // 2
+    l_sketch, r_sketch = ([np.ascontiguousarray(x[:, :half]), np.ascontiguousarray(x[:, half:])] for x in (sketches[0], sketches[right is not None]))
+    l_order, r_order = np.lexsort((left, l_size)), np.lexsort((other, r_size))
+    l_fp, r_fp, l_sizes, r_sizes = left[l_order], other[r_order], l_size[l_order], r_size[r_order]
     found: list[np.ndarray] = []
     more: tuple[list[np.ndarray], list[np.ndarray]] = [], []
-    step = max(1, CELLS // max(1, len(other)))
-    for at in range(0, len(left), step):
-        rows = l_order[at : at + step]
-        for c in range(0, len(other), CELLS):
-            cols = r_order[c : c + CELLS]
-            dist = np.bitwise_count(left[rows][:, None] ^ other[cols][None, :])
-            close = dist <= radius
+    for at in range(0, len(left), ROWS):
+        own, ends = l_fp[at : at + ROWS, None], min(at + ROWS, len(left))
+        low = int(np.searchsorted(r_sizes, similarity * l_sizes[at] - 1e-6))
+        high = int(np.searchsorted(r_sizes, (l_sizes[ends - 1] + 1e-6) / similarity, "right"))
+        for c in range(max(low, at + 1) if right is None else low, high, FEW_CELLS // ROWS):
+            cols = r_fp[c : min(high, c + FEW_CELLS // ROWS)]
+            dist = np.bitwise_count(own ^ cols[None, :])
+            i, j = np.divmod(np.flatnonzero(dist.reshape(-1) <= radius), len(cols))
+            d = dist[i, j]
+            a, b = l_sizes[at + i], r_sizes[c + j]
+            alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
             if right is None:
-                close &= rows[:, None] != cols[None, :]
+                alike &= c + j > at + i
+            i, j, d, both = i[alike], j[alike], d[alike], (a + b)[alike]
+            i, j = l_order[at + i], r_order[c + j]
             if roots is not None:
-                close &= roots[0][rows][:, None] != roots[right is not None][cols][None, :]
-            i, j = np.nonzero(close)
-            a, b = l_size[rows[i]], r_size[cols[j]]
-            alike = np.minimum(a, b) >= similarity * np.maximum(a, b)
-            i, j, both = i[alike], j[alike], (a + b)[alike]
-            alike = np.zeros(len(i), bool)
-            for k in range(0, len(i), 1 << 16):
-                x, y, z = rows[i[k : k + (1 << 16)]], cols[j[k : k + (1 << 16)]], both[k : k + (1 << 16)]
-                alike[k : k + (1 << 16)] = apart(l_sketch[x], r_sketch[y]) <= most_apart(z, similarity)
-            if tried is not None and alike.any():
-                alike[alike] = ~tried(rows[i[alike]], cols[j[alike]])
-            i, j = i[alike], j[alike]
+                alike = roots[0][i] != roots[right is not None][j]
+                i, j, d, both = i[alike], j[alike], d[alike], both[alike]
+            limit, parts = most_apart(both, similarity), np.zeros(len(i), np.int64)
+            for x, y in zip(l_sketch, r_sketch, strict=True):  # what the first half of the sketches rules out needs no second one
+                parts += apart(x[i], y[j])
+                alike = parts <= limit
+                i, j, d, limit, parts = i[alike], j[alike], d[alike], limit[alike], parts[alike]
+            if tried is not None and len(i):
+                alike = ~tried(i, j)
+                i, j, d = i[alike], j[alike], d[alike]
             if not len(i):
                 continue
-            d = dist[i, j]
             use = np.zeros(len(i), bool)
             for side in (i, j):
                 order = np.lexsort((i + j, d, side))
@@ -271,9 +306,9 @@ def tile_pairs(
                 begin = np.concatenate([[True], key[1:] != key[:-1]])
                 rank = np.arange(len(key)) - np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
                 use[order[rank < most]] = True
-            found.append(np.stack([rows[i[use]], cols[j[use]]], 1))
-            for ends, side in zip(more, (rows[i[~use]], cols[j[~use]]), strict=True):
-                ends.append(np.unique(side))
+            found.append(np.stack([i[use], j[use]], 1))
+            for ends_, side in zip(more, (i[~use], j[~use]), strict=True):
+                ends_.append(np.unique(side))
     none = np.zeros(0, np.int64)
     both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return both[:, 0], both[:, 1], *(np.unique(np.concatenate(x)) if x else none for x in more)
@@ -306,11 +341,11 @@ def _propose(t: pa.Table, tried: pa.Table | None, radius: int, similarity: float
     return pa.table({"pair": pa.array(np.full(len(a), pair, np.int64)), "a": pa.array(a), "b": b, "side": pa.array(which), "own": pa.array(np.full(len(a), not two))})
 
 
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = TILE, most: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float = 0.8, tile: int = SIZE_TILE, most: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, text_hash, fp), classes (text_hash, root)): texts joined by chains of pairs within `radius` bits whose `width`-word shingle sets
     have a Jaccard similarity of `similarity` or more.
 
-    The tiled comparison proposes each text's `most` nearest fingerprints in a tile pair; the sets decide. Texts with further ones are compared again,
+    Tiles are ranges of the sets' sizes, and only sizes that allow the similarity are compared. The comparison proposes each text's `most` nearest fingerprints in a tile pair; the sets decide. Texts with further ones are compared again,
     round by round, without the pairs that were tried or are joined by now, until none is left: every pair is decided, and a group of copies never
     emits all of its pairs. A round allows eight times the last one's proposals for a text, so that rounds are few."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession)
@@ -345,7 +380,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
         two = one.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
-    dealt = _dealt(texts, radius, tile)
+    dealt = _dealt_by_size(texts, similarity, tile)
     proposed = stored(dealt.groupBy("pair").applyInArrow(lambda t: _propose(t, None, radius, similarity, most), kinds), f"{path}/proposed0")
     tried, edges, turn = None, None, 0
     while True:
@@ -377,7 +412,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 14, similarity: f
     return rows, named.select("text_hash", F.coalesce("root", "text_hash").alias("root"))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = WIDE, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = WIDE, similarity: float = 0.8, tile: int = SIZE_TILE) -> DataFrame:
     """docs, all columns, with one row left of each group of near copies: that of the smallest doc_id (of repeated rows, one; a group without ids keeps
     a row of one of its texts). Null texts are one text of their own; texts without words are alike."""
     rows, classes = near_copies(docs, width, radius, similarity, tile)

@@ -420,6 +420,31 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd, none):
     assert kept.filter("doc_id = 1").count() == 1 and simhash.deduplicate(none).count() == 0
 
 
+def test_only_sizes_that_allow_the_similarity_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 4000
+    sizes = np.sort(np.exp(rng.uniform(np.log(10), np.log(10**4), n)).astype(np.int64))
+    fps, sketches = rng.integers(0, 2**63, n).astype(np.uint64), np.zeros((n, simhash.SKETCH // 16), np.uint64)
+    fps[1::2] = fps[::2] ^ np.uint64(5)  # the next size
+    cells, count = [0], np.bitwise_count
+    with monkeypatch.context() as m:
+        m.setattr(np, "bitwise_count", lambda x: cells.__setitem__(0, cells[0] + x.size) or count(x))
+        i, j, _, _ = simhash.tile_pairs(fps, None, (sizes, sizes), (sketches, sketches), 2, 0.8)
+    near = {(k, k + 1) for k in range(0, n, 2) if sizes[k] >= 0.8 * sizes[k + 1]}
+    assert near <= {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)} and cells[0] < 0.12 * n * n
+
+    texts = spark.createDataFrame([(k, int(x)) for k, x in enumerate([0, 0, *sizes[::10].tolist()])], "text_hash long, shingles long")
+    at = {}
+    rows = simhash._dealt_by_size(texts, 0.8, 16).collect()
+    for r in rows:
+        at.setdefault(r.text_hash, {})[r.pair] = r.side
+    size = {r.text_hash: r.shingles for r in rows}
+    assert size == {r.text_hash: r.shingles for r in texts.collect()} and len(rows) < 9 * len(size)
+    for x, y in itertools.combinations(sorted(size), 2):
+        if min(size[x], size[y]) >= 0.8 * max(size[x], size[y]):
+            assert len(set(at[x]) & set(at[y])) >= 1
+
+
 def test_near_copies_with_far_fingerprints(spark):
     rng, pairs = np.random.default_rng(2), []
     while len(pairs) < 3:
