@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -719,6 +720,21 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert hits > 50
 
 
+def test_scoring_holds_little_in_a_worker(spark, monkeypatch):
+    """Workers of their own, by a setting of their environment; of those, the most memory that one has held."""
+    monkeypatch.setitem(spark.sparkContext.environment, "QUILLBIN_TEST", "memory")
+
+    def peak(batches):
+        for _ in batches:
+            with open("/proc/self/status") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([int(line.split()[1]) // 1024]) for line in f if line.startswith("VmHWM")], ["mb"])
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1)
+    lm.score(docs).write.format("noop").mode("overwrite").save()
+    peaks = [r.mb for r in spark.range(16).repartition(4).mapInArrow(peak, "mb long").collect()]
+    assert peaks and max(peaks) < 330, peaks
+
+
 def test_the_words_before_change_a_words_cost(spark):
     rng = np.random.default_rng(4)
     passage = list(rng.choice([f"word{k}" for k in range(300)], 200))
