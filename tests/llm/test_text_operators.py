@@ -134,6 +134,18 @@ def test_passages_whose_seeds_come_in_many_other_texts(spark):
     assert want <= {frozenset((r.doc_id, r.other_doc_id)) for r in got}
 
 
+def test_parts_that_are_aligned_add_up(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    shared = [[f"w{x}" for x in rng.integers(0, 10**9, 60)] for _ in range(6)]
+    docs = [(i, " ".join(["own", str(i), *shared[i % 6], *shared[(i + 1) % 6]])) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = []
+    for parts in (1, 5):
+        monkeypatch.setattr(passages, "PARTS", parts)
+        rows.append(sorted(map(tuple, passages.repeated_passages(frame).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) >= 39 and len(set(rows[0])) == len(rows[0])
+
+
 def test_odd_rows_have_no_passages(odd):
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == set()
 
