@@ -758,6 +758,84 @@ def test_the_words_before_change_a_words_cost(spark):
     assert same.base_score == pytest.approx(other.base_score) and same.score > other.score + 100
 
 
+def test_a_common_word_costs_less_after_its_word(spark):
+    """Pairs of words in ever new orders: no three words come again, so no continuation is announced."""
+    rng = np.random.default_rng(5)
+    held = [k for k in range(300, 400) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    deal = lambda: rng.permutation(400)[:60]
+    rows = [(k, " ".join(f"a{j} b{j}" for j in deal())) for k in range(300)]
+    pairs = deal()
+    rows += [(held[0], " ".join(f"a{j} b{j}" for j in pairs)), (held[1], " ".join(f"a{j} b{i}" for j, i in zip(pairs, np.roll(pairs, 1), strict=True)))]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    paired, apart = got[held[0]], got[held[1]]
+    assert paired.base_score == pytest.approx(apart.base_score) and paired.score > apart.score + 30
+    assert paired.score > 0.75 * paired.base_score  # half of the words are all but certain
+
+
+def test_codes_of_common_words_against_brute_force(spark, monkeypatch):
+    """Tree, slots, counts and states bit after bit, then the mixer's formula with the trained weights. Every third word is new, so no continuation comes."""
+    monkeypatch.setattr(lm, "HEAVY", 30)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{j}" if i % 3 else f"x{k}x{i}" for i, j in enumerate(np.minimum(rng.geometric(0.08, rng.integers(0, 120)), 45)))) for k in range(60)] + [(60, None), (61, "once")]
+    out, model = lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), before=lm.BEFORE)
+    got = {r.doc_id: r.score for r in out.collect()}
+    coder, numbers = model.coder, model.lexicon.numbers
+    assert 20 < coder.others == len(numbers) <= 30
+    mask, mult = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    words = {k: [*lm.tokens_of((t or "").encode()), lm.END] for k, t in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in words}
+    codes = [coder.steps[a:b].tolist() for a, b in zip(coder.start, coder.start[1:], strict=False)]
+    assert len({tuple(sorted(c)) for c in codes}) == len(codes) and sum(2.0 ** -len(c) for c in codes) == 1
+
+    def steps(k):
+        ids = [numbers.get(w, lm.RARE) for w in words[k]]
+        for i, number in enumerate(ids):
+            for step in codes[min(number, coder.others)]:
+                slots = []
+                for p, distances in enumerate(lm.BEFORE):
+                    h = p + 1
+                    for d in distances:
+                        h = ((h ^ (ids[i - d] if i >= d else lm.RARE + 1)) * mult) & mask
+                        h ^= h >> 29
+                    slots.append((p, (((h + (step // 2 + 1) * 0xD6E8FEB86659FD93) * mult) & mask) >> (64 - coder.width)))
+                yield step // 2, step % 2, slots
+
+    seen, level = {}, {}
+    tokens = Counter(numbers.get(w, lm.RARE) for k in words if not held[k] for w in words[k])
+    for k in words:
+        for _, bit, slots in steps(k) if not held[k] else ():
+            for s in slots:
+                seen.setdefault(s, [0, 0])[bit] += 1
+    for node in range(coder.others):
+        side = [sum(tokens[min(n, lm.RARE)] if n < coder.others else tokens[lm.RARE] + 1 for n, c in enumerate(codes) if 2 * node + b in c) for b in (0, 1)]
+        level[node] = sum(np.log(side[1] / side[0]) >= e for e in coder.EDGES)
+    for k, w in words.items():
+        want = sum(model.speller.cost([x])[0] for x in w if x not in numbers)
+        for node, bit, slots in steps(k):
+            own = [level[node]]
+            for s in slots:
+                z, o = seen.get(s, (0, 0))
+                z, o = (min(int(np.ceil(n * (255 / max(z, o, 255)))), 255) for n in (z, o))
+                if not held[k] and max(z, o) < 255:
+                    z, o = z - (bit == 0), o - (bit == 1)
+                one, share = z == 0 or o == 0, np.log((o + 0.4) / (z + 0.4))
+                often = 13 + 2 * sum(share >= e for e in (-2, -1.3, -0.7, -0.25, 0.25, 0.7, 1.3, 2)) + (z + o >= 24)
+                own.append(0 if z + o == 0 else 1 + 2 * min(int(np.log2(z + o)), 5) + (o > 0) if one else often)
+            s = [coder.stretch[p][v] for p, v in enumerate(own)]
+            sets = coder.weights[0, own[1] * 32 + own[2]] + coder.weights[1, own[3] * 32 + own[2]]
+            x = sum(a * b for a, b in zip(sets, s, strict=True)) / 2
+            p = np.clip((1 / (1 + np.exp(-x)) + np.interp(np.clip(x, -7.999, 7.999), np.linspace(-8, 8, coder.KNOTS), coder.map[own[0]])) / 2, 1e-6, 1 - 1e-6)
+            want += np.log10(p if bit else 1 - p)
+        assert got[k] == pytest.approx(want, rel=1e-5), k
+
+
+def test_word_mixing_does_not_depend_on_how_the_input_is_cut(spark):
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in rng.geometric(0.02, 60))) for k in range(80)], "doc_id long, text string")
+    a, b = (lm.scored(docs.repartition(n, "doc_id"), before=lm.BEFORE)[1].coder for n in (1, 3))
+    assert np.array_equal(a.states, b.states) and np.array_equal(a.cost, b.cost)
+
+
 def test_encoder_equals_the_library_on_odd_words():
     with open(pfor._default_tokenizer(), encoding="utf-8") as f:
         encode = pfor.Encoder(f.read())
