@@ -3,6 +3,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -836,6 +837,24 @@ def test_word_mixing_does_not_depend_on_how_the_input_is_cut(spark):
     assert np.array_equal(a.states, b.states) and np.array_equal(a.cost, b.cost)
 
 
+def test_scoring_leaves_no_broadcast_on_the_drivers_disk(spark):
+    """Of every broadcast the driver holds a file until it is destroyed."""
+    files = lambda: {p: p.stat().st_size for p in Path(spark.sparkContext._temp_dir).rglob("*") if p.is_file()}
+    before = files()
+    out, _ = lm.scored(spark.createDataFrame([(k, f"some words and word{k}") for k in range(40)], "doc_id long, text string"), before=lm.BEFORE)
+    assert out.count() == 40 and sum(n for p, n in files().items() if p not in before) < 1 << 20
+
+
+def test_counts_of_slots_travel_packed():
+    """Large counts as they are; of the usual small ones, less than their lowest bytes and an eighth."""
+    rng = np.random.default_rng(8)
+    for kind in (np.int32, np.int64):
+        wide = rng.integers(-(2**31), 2**31, (2, 1000)).astype(kind)
+        assert np.array_equal(lm._opened(lm._packed(wide), kind), wide.ravel())
+        small = np.minimum(rng.geometric(0.02, lm.CHUNK), 255).astype(kind)
+        assert np.array_equal(lm._opened(lm._packed(small), kind), small) and len(lm._packed(small)) < lm.CHUNK * 9 // 8
+
+
 def test_encoder_equals_the_library_on_odd_words():
     with open(pfor._default_tokenizer(), encoding="utf-8") as f:
         encode = pfor.Encoder(f.read())
