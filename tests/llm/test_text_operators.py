@@ -187,6 +187,19 @@ def test_chains_within_reach_by_brute_force():
         assert max((len(c) - sum(0.01 * (x[b] - x[a] + y[b] - y[a]) for a, b in zip(c, c[1:], strict=False)) for c in got), default=1.0) == pytest.approx(max(score))
 
 
+def test_one_diagonal_is_aligned_as_any_chain():
+    """A chain's first and last match on one diagonal, aligned as slices, and the same with a match between them, which takes the general way."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a = rng.integers(0, 2**32, int(rng.integers(70, 400))).astype(np.uint32)
+        b = np.where(rng.random(len(a)) < rng.choice([0, 0.1, 0.2, 0.5]), rng.integers(0, 2**32, len(a)), a).astype(np.uint32)
+        shift = int(rng.integers(0, 60))
+        i, m, j = (np.sort(rng.choice(len(a) - shift - passages.K, 3, replace=False)) if len(a) - shift > passages.K + 3 else (0, 1, 2))
+        b = np.concatenate([rng.integers(0, 2**32, shift).astype(np.uint32), b])
+        ends, three = np.array([i, j]), np.array([i, m, j])
+        assert passages.align(a, b, ends, ends + shift) == passages.align(a, b, three, three + shift)
+
+
 # ---------------------------------------------------------------- 3
 
 
